@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, pii
+from bidloom.llm import chat_format, embedding_lsh, html_text, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +41,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
+    "op3_html_text": op3_html_text,
+    "op6_embedding_lsh": op6_embedding_lsh,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL}
