@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, embedding_lsh, html_text, pii
+from bidloom.llm import chat_format, embedding_lsh, html_text, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_html_text": op3_html_text,
     "op6_embedding_lsh": op6_embedding_lsh,
+    "op7_toxicity": op7_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL}
