@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, embedding_lsh, html_text, pii, toxicity
+from bidloom.llm import chat_format, embedding_lsh, html_text, ngram_join, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op6_embedding_lsh": op6_embedding_lsh,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_join": op8_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL}
