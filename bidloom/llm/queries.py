@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, embedding_lsh, html_text, ngram_join, pii, toxicity
+from bidloom.llm import chat_format, decontaminate, embedding_lsh, html_text, ngram_join, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
     "op3_html_text": op3_html_text,
+    "op4_decontaminate": op4_decontaminate,
     "op6_embedding_lsh": op6_embedding_lsh,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
