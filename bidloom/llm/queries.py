@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, decontaminate, embedding_lsh, html_text, ngram_join, pii, toxicity
+from bidloom.llm import chat_format, decontaminate, embedding_lsh, html_text, lm_score, ngram_join, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL, "op10_lm_score": lm_score.ORACLE_SQL}
