@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.llm.packing import pack, range_starts, unpack
+
 BACKOFF, MIN_COUNT = 0.4, 2
 BLOCK_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -56,34 +58,17 @@ def _explode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return words, doc, h ^ h >> np.uint64(29), second
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Little-endian bytes plane by plane, which the shuffle's compression likes for sorted keys and small counts."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition's run starts in sorted keys; partitions are equal ranges of the hash."""
-    width = -(-(1 << 64) // parts)
-    return np.searchsorted(keys, np.array([min(p * width, (1 << 64) - 1) for p in range(parts)], np.uint64)) if parts > 1 else np.zeros(1, np.int64)
-
-
 def _emit(parts: int):
     """(order, part, block, keys, counts) of a block's distinct n-grams."""
 
     def run(key, table):
         block = key[0].as_py()
         words, _, pairs, _ = _explode(table.column("text").to_pylist())
-        rows = [(0, 0, block, _pack(np.zeros(1, np.uint64)), _pack(np.array([len(words)], np.uint64)))]
+        rows = [(0, 0, block, pack(np.zeros(1, np.uint64)), pack(np.array([len(words)], np.uint64)))]
         for order, hashes in ((1, words), (2, pairs)):
             keys, counts = np.unique(hashes, return_counts=True)
-            starts = np.append(_bounds(keys, parts), len(keys))
-            rows += [(order, p, block, _pack(keys[a:b]), _pack(counts[a:b].astype(np.uint64))) for p, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())) if b > a]
+            starts = range_starts(keys, parts)
+            rows += [(order, p, block, pack(keys[a:b]), pack(counts[a:b].astype(np.uint64))) for p, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())) if b > a]
         o, p, b, k, c = zip(*rows)
         return pa.table({"ord": pa.array(o, pa.int32()), "part": pa.array(p, pa.int32()), "block": pa.array(b, pa.int64()), "ngrams": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
@@ -92,12 +77,12 @@ def _emit(parts: int):
 
 def _count(key, table):
     """Totals of a hash partition's n-grams, joined back to each block's own: (ord, part, block, totals)."""
-    own = [_unpack(k, np.uint64) for k in table.column("ngrams").to_pylist()]
-    counts = np.concatenate([_unpack(c, np.uint64) for c in table.column("counts").to_pylist()])
+    own = [unpack(k, np.uint64) for k in table.column("ngrams").to_pylist()]
+    counts = np.concatenate([unpack(c, np.uint64) for c in table.column("counts").to_pylist()])
     _, at = np.unique(np.concatenate(own), return_inverse=True)
     totals = np.bincount(at, counts.astype(np.float64)).astype(np.uint64)[at]
     ends = np.cumsum([len(k) for k in own])
-    packed = [_pack(totals[e - len(k) : e]) for k, e in zip(own, ends.tolist())]
+    packed = [pack(totals[e - len(k) : e]) for k, e in zip(own, ends.tolist())]
     return table.select(["ord", "part", "block"]).append_column("totals", pa.array(packed, pa.binary()))
 
 
@@ -109,7 +94,7 @@ def _score(backoff: float, min_count: int):
         found: list[np.ndarray] = []
         for o, hashes in ((0, None), (1, words), (2, pairs)):
             rows = totals.filter(pa.array(order == o)).sort_by("part")  # parts are ranges, so this is key order
-            all_totals = np.concatenate([np.zeros(0, np.uint64), *(_unpack(t, np.uint64) for t in rows.column("totals").to_pylist())])
+            all_totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(t, np.uint64) for t in rows.column("totals").to_pylist())])
             found.append(all_totals if hashes is None else all_totals[np.unique(hashes, return_inverse=True)[1]].astype(np.float64))
         n = float(found[0][0]) if len(found[0]) else 0.0
         c1, c2 = found[1], found[2]

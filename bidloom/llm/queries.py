@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, decontaminate, embedding_lsh, html_text, lm_score, ngram_join, pii, toxicity
+from bidloom.llm import chat_format, decontaminate, embedding_lsh, html_text, lm_score, ngram_join, pii, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op6_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_html_text": op3_html_text,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_embedding_lsh": op6_embedding_lsh,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
