@@ -28,19 +28,19 @@ def german_number(c: Column) -> Column:
         .when(F.length(t) - F.length(_remove(t, ".")) > 1, _remove(t, "."))
         .otherwise(t)
     )
-    return F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.cast("double"))
+    return F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast("double"))
 
 
 def strict_number(c: Column) -> Column:
     """Every dot groups thousands, the comma is the decimal sign."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9,.\-]", ""), r"\.", ""), ",", ".")
-    return F.when(t.rlike(r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), t.cast("double"))
+    return F.when(t.rlike(r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), t.try_cast("double"))
 
 
 def quantity_number(c: Column) -> Column:
     """As strict_number, but one dot before other than three digits is a decimal point."""
     one = F.trim(F.coalesce(c, F.lit(""))).rlike(r"^-?[0-9]+\.[0-9]{1,2}$|^-?[0-9]+\.[0-9]{4,}$")
-    return F.when(one, F.trim(c).cast("double")).otherwise(strict_number(c))
+    return F.when(one, F.trim(c).try_cast("double")).otherwise(strict_number(c))
 
 
 def cents(c: Column) -> Column:

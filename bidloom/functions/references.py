@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _parts(c: Column) -> Column:
     """Numbers of a dotted reference without leading zeros."""
-    return F.transform(F.split(c, r"\."), lambda x: x.cast("bigint").cast("string"))
+    return F.transform(F.split(c, r"\."), lambda x: x.try_cast("bigint").cast("string"))
 
 
 def normalize_reference(c: Column) -> Column:
@@ -28,8 +28,8 @@ def parse_reference(normalized: Column) -> Column:
     """struct<prefix, first, last> of a normalised reference; null of null."""
     sides = F.split(normalized, "-")
     start = F.split(F.get(sides, F.lit(0)), r"\.")
-    a = F.element_at(start, -1).cast("bigint")
-    b = F.coalesce(F.get(sides, F.lit(1)).cast("bigint"), a)
+    a = F.element_at(start, -1).try_cast("bigint")
+    b = F.coalesce(F.get(sides, F.lit(1)).try_cast("bigint"), a)
     prefix = F.array_join(F.slice(start, F.lit(1), F.size(start) - 1), ".")
     return F.when(normalized.isNotNull(), F.struct(prefix.alias("prefix"), F.least(a, b).alias("first"), F.greatest(a, b).alias("last")))
 
@@ -42,5 +42,5 @@ def effective_references(source: Column, supplier: Column) -> Column:
 
 def version_key(c: Column, levels: int = 8) -> Column:
     """Sort key of natural order: the numbers, missing levels as 0."""
-    numbers = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("bigint"))
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9]+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
     return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), levels)), 1, levels)

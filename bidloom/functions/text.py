@@ -52,7 +52,7 @@ def canonical_unit(c: Column) -> Column:
 def nominal_diameters(c: Column) -> Column:
     """Distinct diameters a text offers: DN numbers, and thread sizes in inches."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[″”]", '"'), r"\s*/\s*", "/"), r"\s+", " ")
-    direct = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bdn\s*(\d{1,3})\b"), F.lit(1)), lambda x: x.cast("int"))
+    direct = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bdn\s*(\d{1,3})\b"), F.lit(1)), lambda x: x.try_cast("int"))
     inches = []
     for inch, dn in NOMINAL_DIAMETERS.items():
         bare = rf"|(?i)(?:^|\s){inch}(?=\s|,|;|$)" if "/" in inch else ""
@@ -67,7 +67,7 @@ def attribute_match(value: Column, offered: Column) -> Column:
     dns = nominal_diameters(offered)
     squeeze = lambda x: F.replace(match_normalize(x), F.lit(" "), F.lit(""))
     return (
-        F.when((expected != "") & F.array_contains(dns, expected.cast("int")), "MATCH")
+        F.when((expected != "") & F.array_contains(dns, expected.try_cast("int")), "MATCH")
         .when((expected != "") & (F.size(dns) > 0), "MISMATCH")
         .when((expected == "") & (squeeze(value) != "") & F.contains(squeeze(offered), squeeze(value)), "MATCH")
         .otherwise("UNRESOLVED")
