@@ -1,7 +1,7 @@
 """Every named query of the library against its SQL."""
 
 import pytest
-from bidloom.plans import documents, logs, offers, registry  # noqa: F401
+from bidloom.plans import documents, logs, offers, registry, reviews  # noqa: F401
 from compare import connect, same_rows
 
 SF = "/root/testdata/sf0.001"
