@@ -84,7 +84,9 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         turns = np.flatnonzero(place[1:] != place[:-1]) + 1
         first, last = np.concatenate([[0], turns]), np.concatenate([turns - 1, [len(place) - 1]])
         anchor = place[first]
-        yield at + anchor, at + first, at + last, h[anchor]
+        # Least hashes crowd at the low end; the ranges they are dealt to need them spread again.
+        x = h[anchor] * _P[0]
+        yield at + anchor, at + first, at + last, (x ^ (x >> np.uint64(32))) * _P[1]
 
 
 def _documents(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
@@ -302,13 +304,20 @@ def _merge(key, table):
         own = own[np.argsort(rank[own])]
         found = [(block[whole], row[whole], (place - left)[whole], (place + right)[whole])]
         if len(own):
-            context = [suffixes[i][r:] + suffixes[i][:r] for i, r in zip(own.tolist(), right[own].tolist())]
-            base = np.cumsum([0, *map(len, context)])[:-1]
-            hashes = window_hashes(b"".join(context) + bytes(WINDOW))
-            n = count[own]
-            which = np.repeat(np.arange(len(own)), n)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            _, firsts = np.unique(hashes[base[which] + step], return_index=True)
+            hashes, whichs, steps = [], [], []
+            for at in range(0, len(own), 2048):  # bounds the hashes held at every byte
+                few = own[at : at + 2048]
+                context = [suffixes[i][r:] + suffixes[i][:r] for i, r in zip(few.tolist(), right[few].tolist())]
+                base = np.cumsum([0, *map(len, context)])[:-1]
+                n = count[few]
+                which = np.repeat(np.arange(len(few)), n)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                hashes.append(window_hashes(b"".join(context) + bytes(WINDOW))[base[which] + step])
+                whichs.append((which + at).astype(np.int32))
+                steps.append(step.astype(np.int32))
+            which, step = np.concatenate(whichs), np.concatenate(steps)
+            _, firsts = np.unique(np.concatenate(hashes), return_index=True)
+            del hashes, whichs, steps
             again = np.ones(len(which), bool)
             again[firsts] = False
             d = np.flatnonzero(again)
