@@ -46,27 +46,36 @@ _PRIME = 0x9E3779B97F4A7C15
 
 
 def template(text: str) -> tuple[list[str], list[str]]:
-    """Template words and the words they stand for."""
+    """Template words and the words they stand for.
+
+    A sign is a unit next to a number and else no word at all.
+    """
     slots, values = [], []
-    start, found = True, _TOKEN.findall(text)
-    for word in found:
-        if word in _ENDS:
+    start, found = True, [(w, w in _ENDS) for w in _TOKEN.findall(text)]
+    words = [w for w, end in found if not end]
+    k, before = 0, ""
+    for word, end in found:
+        if end:
             start = True
             continue
+        k += 1
         lower = word.lower()
+        counted = before[:1].isdigit() or before.lower() in NUMBERS
         if word[0].isdigit() or lower in NUMBERS:
             slot = NUMBER
-        elif word in _SIGNS or (lower in UNITS and slots and slots[-1] == NUMBER):
-            slot = UNIT
+        elif word in _SIGNS:
+            following = words[k] if k < len(words) else ""
+            slot = UNIT if counted or following[:1].isdigit() or following.lower() in NUMBERS else ""
         elif lower in UNITS:
-            slot = lower
+            slot = UNIT if counted else lower
         elif not start and word[0].isupper() and not (len(word) > 1 and word.isupper()):
             slot = NAME
         else:
             slot = lower
-        slots.append(slot)
-        values.append(lower)
-        start = False
+        if slot:
+            slots.append(slot)
+            values.append(lower)
+        start, before = False, word
     return slots, values
 
 
@@ -140,11 +149,14 @@ class Vocabulary(dict):
         numeric = kind == self.NUMERIC
         after = np.zeros(len(kind), bool)
         after[1:] = numeric[:-1] & (doc[1:] == doc[:-1])
-        unit = (kind == self.SIGN) | ((kind == self.MEASURE) & after)
+        beside = after.copy()
+        beside[:-1] |= numeric[1:] & (doc[1:] == doc[:-1])
+        unit = ((kind == self.SIGN) & beside) | ((kind == self.MEASURE) & after)
         capital = (kind == self.CAPITAL) & ~start
         for mask, slot in ((numeric, NUMBER), (unit, UNIT), (capital, NAME)):
             h[mask] = xxhash.xxh3_64_intdigest(slot)
-        return h, doc
+        words = (kind != self.SIGN) | beside
+        return h[words], doc[words]
 
 
 def consistent(pairs: list[tuple[str, str, str]]) -> bool:

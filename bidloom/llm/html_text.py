@@ -109,24 +109,38 @@ def parse(html: str) -> Node:
     return root
 
 
-def _dropped(n: Node) -> bool:
-    if n.tag in DROPPED:
-        return True
-    return bool(n.marks) and (bool(AGAINST.search(n.marks)) and not (n.tag in ("article", "main", "body")) or n.marks.strip() == "hidden" or "display:none" in n.marks.replace(" ", ""))
+def _marked(n: Node) -> bool:
+    if not n.marks or n.tag in ("article", "main", "body"):
+        return False
+    return bool(AGAINST.search(n.marks)) or "hidden" in n.marks.split() or "display:none" in n.marks.replace(" ", "")
 
 
 def _prune_and_count(root: Node) -> list[Node]:
-    """Drops what is no article text and counts characters; nodes in page order. No recursion: depth is the page's choice."""
-    order, stack = [], [root]
+    """Drops what is no article text and counts characters; nodes in page order.
+
+    Marks do not drop a part that holds the page's article or most of its text
+    (a layout named after its sidebar).  No recursion: depth is the page's choice.
+    """
+    order, stack, held = [], [root], {}
     while stack:
         n = stack.pop()
         order.append(n)
-        n.parts = [p for p in n.parts if isinstance(p, str) or not _dropped(p)]
+        n.parts = [p for p in n.parts if isinstance(p, str) or p.tag not in DROPPED]
         stack += [p for p in reversed(n.parts) if not isinstance(p, str)]
     for n in reversed(order):
+        n.chars = sum(len(p.strip()) if isinstance(p, str) else p.chars for p in n.parts)
+        held[n] = n.tag in ("article", "main") or any(held[p] for p in n.parts if not isinstance(p, str))
+    most = root.chars / 2
+    kept, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        kept.append(n)
+        n.parts = [p for p in n.parts if isinstance(p, str) or held[p] or p.chars > most and not held[root] or not _marked(p)]
+        stack += [p for p in reversed(n.parts) if not isinstance(p, str)]
+    for n in reversed(kept):
         n.chars = sum(len(p.strip()) if isinstance(p, str) else p.chars for p in n.parts)
         n.linked = n.chars if n.tag == "a" else sum(p.linked for p in n.parts if not isinstance(p, str))
-    return order
+    return kept
 
 
 def _inline_text(n: Node) -> str:

@@ -14,6 +14,12 @@ def test_article_is_kept_and_the_rest_left_out():
     assert html_text.main_text(PAGE) == WANT
 
 
+def test_a_layout_named_after_its_sidebar_is_kept():
+    page = "<body><div class='with-sidebar'><article><p>Main text, with commas, and words enough.</p></article><div class=sidebar><p>Side, text, here, and more, of it.</p></div></div></body>"
+    assert html_text.main_text(page) == "Main text, with commas, and words enough."
+    assert html_text.main_text(page.replace("article>", "section>")) == "Main text, with commas, and words enough."
+
+
 def test_broken_markup():
     assert html_text.main_text("<p>a, b, c and some words that are long enough, yes</p></div></p><p>tail, cut &am<b") == "a, b, c and some words that are long enough, yes\ntail, cut &am"
     assert html_text.main_text("<article><p>one, two<p>three, four") == "one, two\nthree, four"
