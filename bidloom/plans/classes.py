@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom.functions import geometry as g
-from bidloom.operators import classify
-from bidloom.plans.offers import OPTIONS, options
+from bidloom.operators import classify, keyed, records
+from bidloom.plans.offers import LINE, LINE_SQL, OPTIONS, options
 from bidloom.plans.registry import query
 
 WORDS = ["Heizungsinstallation", "Trinkwasserinstallation", "Wärmepumpe", "Waschtisch", "Geberit ProPlanner", "Rohr"]
@@ -118,3 +118,18 @@ SELECT k, seq, round(coalesce((l + c) / 2.0 * 0.3 + 0.1, 0)::DOUBLE, 6) AS "left
 def column_bounds(t):
     markers = t.events.filter("event_id < 2000").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), ((F.col("event_id") % 3) * 0.3 + 0.1).alias("x"))
     return classify.column_bounds(markers, ["k"]).select("k", "seq", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+@query(f"""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL}) AS rn FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY rn) AS nth FROM s)
+SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE nth = 1) AS n_primary, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM r GROUP BY 1
+""")
+def supplier_records(t):
+    d = keyed.versions(t.lineitem, "l_orderkey", [F.col(c) for c in LINE], "rn")
+    german = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
+    anchor = F.format_string("POS %d LVNR 01 2 %d Text", "rn", "l_partkey")
+    row = F.concat(F.format_string("A%d Artikel %d ST 1,00 ", "l_suppkey", F.col("l_quantity").cast("int")), german)
+    pair = F.explode(F.array(F.struct((F.col("rn") * 2).alias("seq"), anchor.alias("content")), F.struct((F.col("rn") * 2 + 1).alias("seq"), row.alias("content"))))
+    lines = d.select(F.col("l_orderkey").alias("document_id"), pair.alias("x")).select("document_id", "x.seq", F.lit(1).alias("page"), F.lit(0.5).alias("y"), "x.content")
+    r = records.supplier_records(lines)
+    return r.groupBy(F.col("document_id").alias("l_orderkey")).agg(F.count("*").alias("n"), F.count_if(F.col("role") == "PRIMARY").alias("n_primary"), F.sum("quantity").alias("quantity"), F.sum(F.col("total_price").cast("decimal(18,2)")).cast("double").alias("total"))
