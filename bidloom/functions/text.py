@@ -108,7 +108,7 @@ def collapse_repeats(c: Column) -> Column:
 
 
 def truncate_label(c: Column, limit: int) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…"))).otherwise(c)
+    return F.when(F.length(c) > limit, F.concat(F.regexp_replace(F.substring(c, 1, limit - 1), r"\s+$", ""), F.lit("…"))).otherwise(c)
 
 
 def first_match(c: Column, patterns: list[str]) -> Column:

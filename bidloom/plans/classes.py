@@ -111,12 +111,12 @@ def raster_coverage(t):
 
 
 @query("""
-WITH m AS (SELECT DISTINCT user_id AS k, event_id AS seq, event_id % 3 AS c FROM events WHERE event_id < 2000), n AS (SELECT k, c, count(*) AS n FROM m GROUP BY 1, 2),
+WITH m AS (SELECT DISTINCT user_id AS k, event_id AS seq, event_id % 3 AS c FROM events), n AS (SELECT k, c, count(*) AS n FROM m GROUP BY 1, 2),
 b AS (SELECT a.k, a.c, max(o.c) FILTER (WHERE o.c < a.c AND o.n >= 2) AS l, min(o.c) FILTER (WHERE o.c > a.c AND o.n >= 2) AS r FROM n a JOIN n o USING (k) GROUP BY 1, 2)
 SELECT k, seq, round(coalesce((l + c) / 2.0 * 0.3 + 0.1, 0)::DOUBLE, 6) AS "left", round(coalesce((r + c) / 2.0 * 0.3 + 0.1, 1)::DOUBLE, 6) AS "right" FROM m JOIN b USING (k, c)
 """)
 def column_bounds(t):
-    markers = t.events.filter("event_id < 2000").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), ((F.col("event_id") % 3) * 0.3 + 0.1).alias("x"))
+    markers = t.events.select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), ((F.col("event_id") % 3) * 0.3 + 0.1).alias("x"))
     return classify.column_bounds(markers, ["k"]).select("k", "seq", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
 
 

@@ -69,10 +69,10 @@ def supersede_chain(t):
 
 
 @query("""
-SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS expected FROM conversations WHERE turn % 5 <> 2) WHERE turn + 1 <> expected
+SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS expected FROM conversations WHERE role <> 'assistant') WHERE turn + 1 <> expected
 """)
 def dense_revision_check(t):
-    log = t.conversations.filter("turn % 5 <> 2")
+    log = t.conversations.filter("role <> 'assistant'")
     return keyed.revision_gaps(log, "conv_id", [F.col("turn")], F.col("turn") + 1).select("conv_id", "turn", "expected")
 
 
@@ -131,13 +131,13 @@ def predecessor_self_join(t):
 
 
 @query("""
-WITH n AS (SELECT o_orderkey, o_orderpriority AS v FROM orders WHERE o_orderkey % 3 <> 0),
-i AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE o_orderpriority END AS v FROM orders WHERE o_orderkey % 2 = 0)
+WITH n AS (SELECT o_orderkey, o_orderpriority AS v FROM orders WHERE o_orderstatus <> 'P'),
+i AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE o_orderpriority END AS v FROM orders WHERE o_totalprice > 200000)
 SELECT o_orderkey, CASE WHEN n.v IS NULL THEN 'INSERT' WHEN i.v IS NULL THEN 'UNCHANGED' WHEN n.v = i.v THEN 'DUPLICATE' ELSE 'CONFLICT' END AS state FROM n FULL JOIN i USING (o_orderkey)
 """)
 def merge_classify(t):
-    existing = t.orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderpriority").alias("v"))
-    incoming = t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("v"))
+    existing = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderpriority").alias("v"))
+    incoming = t.orders.filter("o_totalprice > 200000").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("v"))
     return keyed.merge_state(existing, incoming, "o_orderkey", ["v"])
 
 
@@ -158,13 +158,13 @@ def replace_affected(t):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey BETWEEN 1 AND 500), r AS (
-  SELECT src AS start, src AS node, 0 AS depth FROM e WHERE src % 50 = 0 UNION ALL SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12)
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0), r AS (
+  SELECT src AS start, src AS node, 0 AS depth FROM e UNION ALL SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node)
 SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2
 """)
 def dependency_closure(t):
-    edges = t.part.filter("p_partkey BETWEEN 1 AND 500").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
-    return keyed.reachable(edges, edges.filter("src % 50 = 0").select(F.col("src").alias("node")), 12)
+    edges = t.part.filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    return keyed.reachable(edges, edges.select(F.col("src").alias("node")), 64)
 
 
 @query("""
@@ -229,11 +229,11 @@ def review_queue(t):
 
 
 @query("""
-SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events) AND user_id % 2 = 0
+SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events) AND value > 10
 """)
 def decision_history_filter(t):
     day = t.events.agg(F.to_date(F.min("ts")).alias("d"))
-    d = t.events.filter("event_type = 'purchase' AND user_id % 2 = 0").withColumn("d", F.to_date("ts"))
+    d = t.events.filter("event_type = 'purchase' AND value > 10").withColumn("d", F.to_date("ts"))
     return d.join(F.broadcast(day), "d", "left_semi").select("event_id", "user_id")  # one row
 
 

@@ -171,14 +171,13 @@ def distinct_price_conflict(t):
 
 
 @query("""
-WITH b AS (SELECT p_partkey AS basis_id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w, p_size FROM part WHERE p_size <= 10),
+WITH b AS (SELECT p_partkey AS basis_id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w, p_size FROM part),
 o AS (SELECT s_suppkey AS offer_id, s_suppkey % 10 + 1 AS size FROM supplier)
 SELECT basis_id, offer_id FROM b JOIN o ON p_size = size AND basis_id BETWEEN offer_id * 5 AND offer_id * 5 + 300
 """)
 def candidate_prefilter(t):
-    p = t.part.filter("p_size <= 10")
     none = F.array().cast("array<string>")
-    basis = p.select(F.col("p_partkey").alias("basis_id"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), F.lit(None).cast("string").alias("article"), F.col("p_size").cast("string").alias("prefix"), F.col("p_partkey").alias("first"))
+    basis = t.part.select(F.col("p_partkey").alias("basis_id"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), F.lit(None).cast("string").alias("article"), F.col("p_size").cast("string").alias("prefix"), F.col("p_partkey").alias("first"))
     offers = t.supplier.select(F.col("s_suppkey").alias("offer_id"), none.alias("tokens"), F.lit("none").alias("article"), (F.col("s_suppkey") % 10 + 1).cast("string").alias("prefix"), (F.col("s_suppkey") * 5).alias("first"), (F.col("s_suppkey") * 5 + 300).alias("last"))
     return matching.candidate_pairs(basis, offers)
 
