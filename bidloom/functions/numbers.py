@@ -88,3 +88,9 @@ def line_confidence(**doubts: Column) -> Column:
 def token_cost(inputs: Column, cached: Column, outputs: Column) -> Column:
     fresh = F.greatest(inputs - cached, F.lit(0))
     return (fresh * TOKEN_PRICES["input"] + cached * TOKEN_PRICES["cached"] + outputs * TOKEN_PRICES["output"]) / 1e6
+
+
+def german_format(c: Column) -> Column:
+    """Grouped thousands and up to two decimals, as 1.234,5; a dash for null."""
+    fixed = F.translate(F.format_number(F.round(c, 2), 2), ",.", ".,")
+    return F.coalesce(F.regexp_replace(fixed, ",00$|(?<=,[0-9])0$", ""), F.lit("—"))

@@ -119,3 +119,10 @@ def first_match(c: Column, patterns: list[str]) -> Column:
 def search_contains(query: Column, *fields: Column) -> Column:
     """Whether the fields' normalised text holds the query's; an empty query holds everywhere."""
     return F.contains(search_normalize(F.concat_ws(" ", *fields)), search_normalize(query))
+
+
+def date_hints(c: Column, limit: int = 5) -> Column:
+    """The first distinct day.month.year spellings of a text."""
+    day, month, year = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:20)?[0-9]{2}"
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"\b{day}[./-]{month}[./-]{year}\b"), F.lit(0))
+    return F.slice(F.array_distinct(found), 1, limit)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidloom.sources.lineage import cut
+
 
 def _running(keys: list[str], order: list[Column]):
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -101,14 +103,18 @@ def clustered_lines(items: DataFrame, keys: list[str], tolerance: float) -> Data
 
 
 def pages_of(df: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """row_number and 1-based page of a result in one global order: the order is range-partitioned, numbered by partition offsets."""
-    sorted_rows = df.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    w = W.partitionBy("_p").orderBy("_i")
-    numbered = sorted_rows.withColumn("_n", F.row_number().over(w))
-    sizes = numbered.groupBy("_p").agg(F.max("_n").alias("_c"))
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    placed = numbered.join(F.broadcast(offsets.select("_p", "_o")), "_p").withColumn("row_number", (F.col("_o") + F.col("_n")).cast("bigint"))
-    return placed.withColumn("page", F.ceil(F.col("row_number") / size).cast("bigint")).drop("_p", "_i", "_n", "_o")
+    """row_number and 1-based page of a result in one global order.
+
+    The order is range-partitioned and checkpointed, so that both readers below
+    see the same partitions; a row's number is its partition's offset plus its
+    place there, which its increasing id tells.
+    """
+    placed = cut(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_p": F.shiftright("_i", 33), "_n": F.col("_i").bitwiseAND((1 << 33) - 1) + 1})
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"))
+    offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row per partition
+    numbered = placed.join(F.broadcast(offsets), "_p").withColumn("row_number", F.col("_o") + F.col("_n"))
+    return numbered.withColumn("page", F.ceil(F.col("row_number") / size).cast("bigint")).drop("_p", "_i", "_n", "_o")
 
 
 def sampled_pages(n: Column) -> Column:
