@@ -22,6 +22,7 @@ def apply(spark, f, values, kind="string"):
         (text.match_normalize, {"Ärger, groß!": "arger groß", "  A--b ": "a b", None: ""}),
         (text.type_identifier, {"Ventil Typ: AB 12 Fabrikat X": "AB 12", "kein": None}),
         (text.article_number, {"Rohr Art.-Nr.: AB-1234 x": "AB-1234", "Rohr": None, None: None}),
+        (text.date_hints, {"vom 3.10.2024, 3.10.2024 und 24/12/24": ["3.10.2024", "24/12/24"], "45.13.2024": [], "1.1.24 2.1.24 3.1.24 4.1.24 5.1.24 6.1.24": ["1.1.24", "2.1.24", "3.1.24", "4.1.24", "5.1.24"], None: []}),
         (text.collapse_repeats, {"a\na\nb b c": "a\nb c", None: ""}),
         (text.initials, {"Müller & Söhne GmbH": "MS", "": ""}),
     ],
@@ -62,3 +63,7 @@ def test_boxes(spark):
     box = spark.range(1).select(geometry.from_transform(m, F.lit(60.0), F.lit(600.0), F.lit(800.0)).alias("b")).select("b", geometry.is_valid(F.col("b")).alias("ok"), geometry.pad(F.col("b"), 0.1).alias("p")).first()
     assert (round(box.b.x, 6), round(box.b.y, 6), round(box.b.width, 6), round(box.b.height, 6), box.ok) == (0.1, 0.0125, 0.1, 0.0125, True)
     assert box.p.x == 0 and box.p.y == 0
+
+
+def test_german_format(spark):
+    assert apply(spark, numbers.german_format, [1234.5, 1234.0, 0.05, -1234567.891, 100.0, None], "double") == ["1.234,5", "1.234", "0,05", "-1.234.567,89", "100", "—"]

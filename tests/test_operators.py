@@ -99,3 +99,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.user_id: r.event_id for r in decisions.latest(events).collect()}
     want = {r.user_id: r.event_id for r in keyed.last_wins(events.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).collect()}
     assert got == want
+
+
+def test_pages_number_rows_over_many_partitions(spark):
+    from bidloom.operators.sequences import pages_of
+
+    rows = spark.range(1000).repartition(7).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("k"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("wide"))
+    got = pages_of(rows, [F.desc("k")], 30).collect()
+    assert sorted((r.row_number, r.k, r.page) for r in got) == [(i + 1, 999 - i, i // 30 + 1) for i in range(1000)]
+
+
+def test_new_documents_are_processed_alone_unless_a_basis_is_new(spark):
+    from bidloom.operators.views import documents_to_process
+
+    docs = spark.createDataFrame([(1, 1, False), (1, 2, False), (2, 3, False), (2, 4, True), (3, 5, False), (4, 6, True)], "p int, d int, basis boolean")
+    done = spark.createDataFrame([(1, 1), (2, 3), (4, 6), (4, 6)], "p int, d int")
+    got = {(r.p, r.d): r.incremental for r in documents_to_process(docs, done, "p", "d", "basis").collect()}
+    assert got == {(1, 2): True, (2, 3): False, (2, 4): False, (3, 5): False, (4, 6): False}
