@@ -3,8 +3,10 @@
 The lexicon is learned from the labelled training rows: words, and word stems
 of 4 to 6 letters, that toxic documents use and clean ones do not.  A word's
 evidence is the number of distinct neighbour pairs it is seen with, and these
-must be at least half its occurrences, so words that copies of a few documents
-repeat are no evidence.  Lexicon and weights come from
+must be at least half its occurrences, so words of set phrases are no evidence.
+Both are counted over distinct training texts: of equal texts and of near copies
+of a class one is counted, so copies neither add evidence nor cancel it.
+Lexicon and weights come from
 at most MAX_ROWS labelled rows of each class (the smallest hashes of their ids:
 a bounded, repeatable sample); scoring covers every row.
 
@@ -47,6 +49,9 @@ MAX_TERMS = 1_000
 MIN_CONTEXTS, MIN_STEM_WORDS, MAX_CLEAN_SHARE = 3, 2, 0.02
 WINDOW = 6
 MEMO_WORDS = 300_000
+#: Near copies among the training texts: bands of four least hashes of neighbour triples, and the share of bands met.
+BANDS, BAND_ROWS, COPY_SHARE = 16, 4, 0.25
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Signs that stand for letters, and the words that tell quotation from address.
 FOLD = str.maketrans("0134578@$!", "oieastbasi")
 QUOTING = frozenset("quote quoted quotes said says wrote word words term called calling slur mean means never not sagte wort nannte nicht dit mot appelé jamais dijo palabra llamó nunca".split())
@@ -183,6 +188,38 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def bands(text: str) -> list[tuple[int, int]]:
+    """(band, value) of a text's sketch: the least hashes of its neighbour triples in BANDS * BAND_ROWS buckets."""
+    ids = np.array([xxhash.xxh3_64_intdigest(x) for x in ["", *_WORD.findall(text.lower()), ""]], np.uint64)
+    if len(ids) < 3:
+        return []
+    h = ((ids[:-2] * _PRIME ^ ids[1:-1]) * _PRIME ^ ids[2:]) * _PRIME
+    h ^= h >> np.uint64(31)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (h % np.uint64(len(least))).astype(np.int64), h)
+    empty = np.iinfo(np.uint64).max
+    return [(i, xxhash.xxh3_64_intdigest(row.tobytes()) >> 1) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS)) if (row != empty).any()]
+
+
+def originals(sample: DataFrame) -> DataFrame:
+    """text, toxic of the distinct texts: of a class's equal texts one, and no text that meets lesser hashes in COPY_SHARE of its bands."""
+    texts = cut(sample.select("text", "toxic", F.xxhash64("text").alias("h")).dropDuplicates(["h", "toxic"]))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, y, b, v) for text, y, h in zip(*(c.to_pylist() for c in batch.columns)) for b, v in bands(text)]
+            if rows:
+                h, y, b, v = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(b, pa.int32()), pa.array(v, pa.int64())], ["h", "toxic", "band", "value"])
+
+    met = texts.mapInArrow(sketched, "h long, toxic int, band int, value long")
+    # BANDS rows a sampled text at most, by construction
+    shared = met.groupBy("toxic", "band", "value").agg(F.min("h").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    told = met.join(F.broadcast(shared), ["toxic", "band", "value"], "left").groupBy("h", "toxic").agg(F.count_if(F.col("h") > F.col("least")).alias("met"), F.count("*").alias("n"))
+    copies = told.filter(F.col("met") >= COPY_SHARE * F.col("n")).select("h", "toxic")
+    return texts.join(F.broadcast(copies), ["h", "toxic"], "left_anti").select("text", "toxic")
+
+
 def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
     """(term, kind) with the most evidence, MAX_TERMS at most; kind is word, plain (a word matched exactly only) or stem."""
 
@@ -199,7 +236,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
                     a, b, c = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(rows.values(), pa.int64())], ["word", "pair", "toxic", "n"])
 
-    pairs = sample.select("text", "toxic").mapInArrow(neighbours, "word string, pair long, toxic int, n long").groupBy("word", "pair", "toxic").agg(F.sum("n").alias("n"))
+    pairs = originals(sample).mapInArrow(neighbours, "word string, pair long, toxic int, n long").groupBy("word", "pair", "toxic").agg(F.sum("n").alias("n"))
     counts = cut(pairs.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("seen")))
     n, bad, good = counts.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
     if not bad or not good:

@@ -62,3 +62,22 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.classify(docs(spark, ["a", None]), none).collect()} == {0.0}
     assert toxicity.classify(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_copies_neither_add_evidence_nor_cancel_it(spark):
+    draw = random.Random(6)
+    rows = corpus()
+    hot = next(t for t, y in rows if y)
+    near = hot.split()
+    copies = [(hot, 1)] * 400
+    for i in range(300):
+        w = list(near)
+        w[draw.randrange(len(w))] = f"odd{i}"
+        copies.append((" ".join(w), 1))
+    once = {t for t, _ in toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))}
+    assert {"zorgling", "vexxor", "quimplest"} <= once
+    assert {"zorgling", "vexxor", "quimplest"} <= {t for t, _ in toxicity.lexicon(spark.createDataFrame(rows + copies, "text string, toxic int"))}
+    # A word that only the copies have is no evidence, however often they repeat it.
+    alone = [(f"{hot} glarbwick", 1)] * 500
+    assert "glarbwick" not in {t for t, _ in toxicity.lexicon(spark.createDataFrame(rows + alone, "text string, toxic int"))}
+    assert toxicity.originals(spark.createDataFrame(rows + copies, "text string, toxic int")).count() <= len(rows) + 15
