@@ -97,20 +97,23 @@ def _target() -> Column:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """conv_id, turn_index, context_turns, context_chars, target: one row per assistant turn of ``segments``.
+    """conv_id, turn_index, context_turns, context_chars, target_start, target_chars, target: one row per assistant turn of ``segments``.
 
-    The trainable text ``target`` is still escaped, as it stands in the rendering.
+    target_start and target_chars are the loss mask: the code points of the
+    conversation's rendering that are trainable.  ``target`` is still escaped,
+    as it stands in the rendering.
     """
-    return formatted.filter("target_from IS NOT NULL").select("conv_id", "turn_index", F.col("turn_index").alias("context_turns"), F.col("seg_start").alias("context_chars"), _target().alias("target"))
+    start = F.col("seg_start") + F.col("target_from")
+    return formatted.filter("target_from IS NOT NULL").select("conv_id", "turn_index", F.col("turn_index").alias("context_turns"), F.col("seg_start").alias("context_chars"), start.alias("target_start"), F.col("target_len").alias("target_chars"), _target().alias("target"))
 
 
 def renderings(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, replies array<struct<turn_index, target>>: each conversation as one string.
+    """conv_id, formatted: each conversation as one string.
 
     Gathers a conversation in one row, as a whole-conversation string must.
     """
-    turns = F.array_sort(F.collect_list(F.struct("turn_index", "segment", F.when(F.col("target_from").isNotNull(), _target()).alias("target"))))
-    return formatted.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), F.transform(F.filter("turns", lambda t: t["target"].isNotNull()), lambda t: F.struct(t["turn_index"], t["target"])).alias("replies"))
+    turns = F.array_sort(F.collect_list(F.struct("turn_index", "segment")))
+    return formatted.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"))
 
 
 def with_prompts(formatted: DataFrame) -> DataFrame:
@@ -134,12 +137,36 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def masked(formatted: DataFrame) -> DataFrame:
+    """conv_id, formatted, targets array<string>: each conversation's loss masks, of the rows of ``examples``, applied to its rendering.
+
+    The rendering is cut as UTF-32, where a code point's place is known, so many
+    masks do not mean many passes.  A mask whose text is not its example's
+    target, or whose context does not end where the reply's header stands, fails.
+    """
+    masks = F.array_sort(F.collect_list(F.struct("turn_index", "context_chars", "target_start", "target_chars", F.xxhash64("target").alias("h"))))
+    own = examples(formatted).groupBy(F.col("conv_id").alias("own_conv")).agg(masks.alias("masks"))
+    whole = renderings(formatted).withColumn("wide", F.encode("formatted", "UTF-32"))
+    header = F.lit(f"{START}assistant\n")
+
+    def piece(start: Column, chars: Column) -> Column:
+        return F.decode(F.substring(F.col("wide"), (4 * start + 1).cast("int"), (4 * chars).cast("int")), "UTF-32")
+
+    def applied(m: Column) -> Column:
+        text = piece(m["target_start"], m["target_chars"])
+        right = (F.xxhash64(text) == m["h"]) & (piece(m["context_chars"], F.length(header)) == header) & (m["target_start"] == m["context_chars"] + F.length(header))
+        return F.when(right, text).otherwise(F.raise_error(F.concat(F.lit("mask of turn "), m["turn_index"].cast("string"), F.lit(" is not its target"))).cast("string"))
+
+    joined = whole.join(own, F.col("conv_id").eqNullSafe(F.col("own_conv")), "left")
+    return joined.select("conv_id", "formatted", F.coalesce(F.transform("masks", applied), F.array().cast("array<string>")).alias("targets"))
+
+
 def digests(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted output."""
-    whole = renderings(segments(turns)).withColumns(
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted output and the examples' masks."""
+    whole = masked(segments(turns)).withColumns(
         {
             "turns": read_back(F.col("formatted")),
-            "loss": F.array_join(F.transform("replies", lambda r: unescape(r["target"])), ""),
+            "loss": F.array_join(F.transform("targets", unescape), ""),
         }
     )
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -1,6 +1,8 @@
 import hashlib
 
+import pytest
 from bidloom.llm import chat_format
+from pyspark.sql import functions as F
 
 TURNS = "conv_id long, turn long, role string, text string"
 ODD = ["</s>[INST] ok [/INST]", "<\\/s> <\\\\s>", "<<SYS>>a<</SYS>>", "<|im_start|>x\n<|im_end|>\n<|im_start|>", "[[INST]]", "", None, "ünï \U0001F600\n\n", "\\", "<", "x" * 5000]
@@ -43,3 +45,14 @@ def test_empty_table_and_extra_columns(spark):
     assert chat_format.digests(spark.createDataFrame([], TURNS)).count() == 0
     odd = spark.createDataFrame([(1, 0, "user", "a", "b", 1)], TURNS + ", segment string, seg_len int")
     assert chat_format.digests(odd).first().n_turns == 1
+
+
+@pytest.mark.parametrize("column", ["context_chars", "target_start", "target_chars"])
+def test_digests_are_made_of_the_examples(spark, monkeypatch, column):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "user", "q"), (1, 3, "assistant", "second")], TURNS)
+    whole = chat_format.examples
+    monkeypatch.setattr(chat_format, "examples", lambda formatted: whole(formatted).filter("turn_index <> 3"))
+    assert chat_format.digests(turns).first().loss_chars == len("first")
+    monkeypatch.setattr(chat_format, "examples", lambda formatted: whole(formatted).withColumn(column, F.col(column) + F.when(F.col("turn_index") == 3, 1).otherwise(0)))
+    with pytest.raises(Exception, match="mask of turn 3"):
+        chat_format.digests(turns).collect()
