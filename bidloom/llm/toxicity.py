@@ -11,8 +11,9 @@ at most MAX_ROWS labelled rows of each class (the smallest hashes of their ids:
 a bounded, repeatable sample); scoring covers every row.
 
 The lexicon becomes a trie.  A text's words are matched by walking the trie
-with the rows of a Levenshtein automaton (one edit for terms of five letters or
-more, two from nine), so misspellings are met without a pass over the lexicon;
+with the rows of a Levenshtein automaton from its root, so any letter may be the
+wrong one (one edit for terms of five letters or more, two from nine; a swap of
+neighbours is one edit), and misspellings are met without a pass over the lexicon;
 a term with words of clean training texts that near is only matched exactly.
 Letters that look like digits or signs are folded first.  Around each match a
 window of words decides its kind: quotation (quote marks about it, words of
@@ -69,11 +70,43 @@ def words(text: str) -> list[re.Match]:
     return list(_WORD.finditer(text))
 
 
+def letters(word: str) -> int:
+    """The word's letters as bits; letters that share a bit only make it less telling."""
+    out = 0
+    for letter in word:
+        out |= 1 << (ord(letter) & 63)
+    return out
+
+
+def thirds(term: str) -> set[str]:
+    """The thirds of a term, also with the letters at their borders swapped: two edits leave one of these whole."""
+    a, b = len(term) // 3, 2 * len(term) // 3
+    out: set[str] = set()
+    for swaps in ((), (a,), (b,), (a, b)):
+        w = list(term)
+        for i in swaps:
+            w[i - 1], w[i] = w[i], w[i - 1]
+        w = "".join(w)
+        out |= {w[:a], w[a:b], w[b:]}
+    return out
+
+
+def thinned(word: str, edits: int) -> set[str]:
+    """The word, and what is left of it without any 1 to ``edits`` letters."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Trie:
     """Nodes as dictionaries; '' marks the end of a whole term, '*' that of a stem."""
 
     def __init__(self, terms: list[tuple[str, str]]):
         self.root: dict = {}
+        self.terms, self.by_edits = terms, None
+        self.shortest = min((len(t) for t, _ in terms), default=0)
         self.longest = max((len(t) for t, _ in terms), default=0)
         for term, kind in terms:
             node = self.root
@@ -92,6 +125,59 @@ class Trie:
                 stem = "stem"
         return "exact" if "" in node else stem
 
+    def near(self, word: str) -> set[str]:
+        """The whole terms within their edits of ``word``: one for five letters or more, two from nine; a swap of neighbours is one.
+
+        The automaton of ``within``, from the root.  A swap reads two letters at
+        once: it goes on from the state before the last letter of the trie.  Words
+        that share no form with letters left out with any term are never walked:
+        a term within k edits has one in common, each with k left out at most;
+        nor are words that lack, or have besides, more than k letters of every term,
+        or, for two edits, that hold no third of a term.
+        """
+        if self.by_edits is None:
+            self.by_edits = []
+            for edits, lo, hi in ((1, 5, 9), (2, 9, 1 << 30)):
+                own = [t for t in self.terms if lo <= len(t[0]) < hi]
+                parts = set().union(*(thirds(t) for t, _ in own)) if edits == 2 else set()
+                self.by_edits.append((edits, Trie(own), {letters(t) for t, _ in own}, parts, sorted({len(x) for x in parts}), set().union(*(thinned(t, edits) for t, _ in own))))
+        n = len(word)
+        end, full = 1 << n, (2 << n) - 1
+        masks: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            masks[letter] = masks.get(letter, 0) | 1 << i
+        found: set[str] = set()
+        has = letters(word)
+        for edits, trie, alphabets, parts, sizes, forms in self.by_edits:
+            if not trie.root or not trie.shortest - edits <= n <= trie.longest + edits:
+                continue
+            if not any((a & ~has).bit_count() <= edits and (has & ~a).bit_count() <= edits for a in alphabets):
+                continue
+            if parts and not any(word[i : i + size] in parts for size in sizes for i in range(n - size + 1)) or forms.isdisjoint(thinned(word, edits)):
+                continue
+            start = [((2 << k) - 1) & full for k in range(edits + 1)]
+            stack = [(trie.root, start, [0] * (edits + 1), 0)]
+            while stack:
+                node, states, earlier, last = stack.pop()
+                for letter, child in node.items():
+                    if letter == "":
+                        if states[-1] & end:
+                            found.add(child)
+                    elif letter != "*":
+                        mask = masks.get(letter, 0)
+                        below = states[0]
+                        now = (below & mask) << 1
+                        following = [now]
+                        for k in range(1, edits + 1):
+                            state = states[k]
+                            swapped = ((earlier[k - 1] & mask) << 1 & last) << 1
+                            now = ((state & mask) << 1 | below | below << 1 | now << 1 | swapped) & full
+                            following.append(now)
+                            below = state
+                        if now:
+                            stack.append((child, following, states, mask))
+        return found
+
     def within(self, word: str, edits: int) -> set[str]:
         """The whole terms with this first letter within ``edits``: of five letters or more, for two edits of nine.
 
@@ -146,7 +232,7 @@ class Matcher(dict):
             folded = re.sub(r"(.)\1{2,}", r"\1", folded)
             if folded != word and (found := self.trie.exact(folded)):
                 kind = "fuzzy" if found == "exact" else None
-            if kind is None and len(folded) >= 4 and self.fuzzy.within(folded, 2 if len(folded) >= 8 else 1):
+            if kind is None and len(folded) >= 4 and self.fuzzy.near(folded):
                 kind = "fuzzy"
         if len(self) >= MEMO_WORDS:
             self.clear()
@@ -253,7 +339,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
 
     def clashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [fuzzy.within(w, 2 if len(w) >= 8 else 1) - {w} for w in batch.column(0).to_pylist()]
+            near = [fuzzy.near(w) - {w} for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*near)), pa.string())], ["term"])
 
     plain = {r.term for r in counts.filter("good > 0").select("word").mapInArrow(clashes, "term string").distinct().collect()}

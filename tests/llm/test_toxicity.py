@@ -81,3 +81,48 @@ def test_copies_neither_add_evidence_nor_cancel_it(spark):
     alone = [(f"{hot} glarbwick", 1)] * 500
     assert "glarbwick" not in {t for t, _ in toxicity.lexicon(spark.createDataFrame(rows + alone, "text string, toxic int"))}
     assert toxicity.originals(spark.createDataFrame(rows + copies, "text string, toxic int")).count() <= len(rows) + 15
+
+
+def test_near_equals_edit_distance_with_swaps():
+    def distance(a, b):
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    draw = random.Random(9)
+    terms = ["".join(draw.choices("abc", k=draw.randrange(4, 12))) for _ in range(80)]
+    trie = toxicity.Trie([(t, "word") for t in terms])
+    for _ in range(600):
+        w = "".join(draw.choices("abcd", k=draw.randrange(1, 14)))
+        assert trie.near(w) == {t for t in terms if len(t) >= 5 and distance(w, t) <= 1 + (len(t) >= 9)}, w
+
+
+def test_misspelt_terms_are_found():
+    matcher = toxicity.Matcher([(t, "word") for t in ("idiot", "moron", "worthless", "stupid", "clown")])
+    for w in ("odiot", "diot", "xmoron", "wrthles", "idoit", "stuipd", "clwon", "orthless", "diiot"):
+        assert matcher[w] == "fuzzy", w
+    assert matcher["idiot"] == "exact" and matcher["table"] is None and matcher["riot"] is None
+
+
+def test_no_filter_before_the_walk_loses_a_term():
+    draw = random.Random(10)
+    alphabet = "abcdefghijklmnopqrst"
+    terms = ["".join(draw.choices(alphabet, k=draw.randrange(5, 13))) for _ in range(60)]
+    trie = toxicity.Trie([(t, "word") for t in terms])
+    for _ in range(6000):
+        term = draw.choice(terms)
+        first = 0
+        w = term
+        for _ in range(2 if len(term) >= 9 else 1):
+            # Left to right, so that no edit changes what an earlier one made.
+            i = draw.randrange(first, len(w) - 1) if first < len(w) - 1 else first
+            kind = draw.randrange(4)
+            if i >= len(w) - 1:
+                break
+            w = (w[:i] + w[i + 1 :], w[:i] + draw.choice(alphabet) + w[i:], w[:i] + draw.choice(alphabet) + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :])[kind]
+            first = i + (0, 1, 1, 2)[kind]
+        assert term in trie.near(w), (term, w)
