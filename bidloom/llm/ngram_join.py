@@ -2,21 +2,25 @@
 
 A document's set is that of its five-word n-grams (lower case, runs of letters
 and digits; a shorter text is one n-gram).  Documents with equal sets are one
-class and go on as its smallest id.  Classes shuffle on band hashes; band and
-row counts follow from the recall wanted at the threshold.  Where classes meet
-in a band, sketches of 64 bytes, shipped along, drop pairs far below the
-threshold, and a spanning forest of the rest names candidate groups.  Each
-group's texts are shipped once, and every pair in it is verified on its full
-n-gram sets; what leaves a task is a count for each class and a spanning forest
-of the links.
+class, keyed by a 128-bit digest of the set and never by an id.  Classes shuffle
+on band hashes; band and row counts follow from the recall wanted at the
+threshold.  Where classes meet in a band, sketches of 64 bytes, shipped along,
+drop pairs far below the threshold (a pair at the threshold is lost with a
+chance of about 0.0001, besides what the bands lose), and a spanning forest of
+the rest names candidate groups.  One text of each class in a group is shipped,
+and every pair of classes is verified on its full n-gram sets; what leaves a
+task is a count for each class and a spanning forest of the links.
 
 A bucket or group beyond its block size is dealt out as pairs of blocks, so no
-task holds a hot one, and no step makes a row for a pair.
+task holds a hot one, and no step makes a row for a pair.  The price is that a
+group of n different texts ships each of them n / GROUP_BLOCK times: exact link
+counts need every pair of different texts.
 
 Defined results: null text counts as empty; texts without a word link with
-nothing; documents of equal sets link with each other; rows that repeat a
-doc_id are independent documents with one id, each given the same result; an
-empty table gives an empty table; other columns are not read.
+nothing; documents of equal sets link with each other; every input row is a
+document of its own, also rows that repeat a doc_id or have none (a null id is
+larger than any other); an empty table gives an empty table; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.links import components
-from bidloom.llm.shared import cut
+from bidloom.llm.shared import cut, keyed, looked_up
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 ROWS, SKETCH, LOOSE = 8, 64, 0.6
@@ -100,7 +104,7 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest of the n-gram set (null without words), bands array<long>, sketch binary."""
+    """doc_id, th (hash of the text), digest of the n-gram set (null without words), bands array<long>, sketch binary."""
 
     def run(batches):
         shingler, minhash = Shingler(n), MinHash(bands, rows)
@@ -108,7 +112,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 digests, sketches, hashes = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     grams = shingler.grams(text)
                     if len(grams):
                         h, s = minhash(grams)
@@ -121,10 +125,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         hashes.append(np.zeros(0, np.int64))
                 offsets = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
                 made = pa.ListArray.from_arrays(offsets, np.concatenate(hashes))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), made, pa.array(sketches, pa.binary())], ["doc_id", "digest", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(digests, pa.binary()), made, pa.array(sketches, pa.binary())], ["doc_id", "th", "digest", "bands", "sketch"])
 
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sketch binary")
+    return keyed(docs).select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, digest binary, bands array<long>, sketch binary")
 
 
 def deal(members: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -155,20 +158,19 @@ class Forest:
 
 
 def _pairs(table: pa.Table, lo: int, hi: int):
-    """The block's rows in id order, with the first ``split`` of them the lower block; 0 if it is one block."""
-    order = np.lexsort((table.column("rep").to_numpy(), table.column("c").to_numpy()))
-    table = table.take(pa.array(order)).combine_chunks()
+    """The block's rows in key order, with the first ``split`` of them the lower block; 0 if it is one block."""
+    table = table.sort_by([("c", "ascending"), ("rep", "ascending")]).combine_chunks()
     return table, int((table.column("c").to_numpy() == lo).sum()) if lo != hi else 0
 
 
 def _candidates(key, table):
     """(a, b): a forest over those of one bucket block whose sketches agree."""
     lo, hi = key[-2].as_py(), key[-1].as_py()
-    nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    nothing = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
     if table.num_rows < 2:
         return nothing
     table, split = _pairs(table, lo, hi)
-    ids = table.column("rep").to_numpy()
+    ids = table.column("rep")
     n = len(ids)
     x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
     forest = Forest(n)
@@ -179,7 +181,7 @@ def _candidates(key, table):
             forest.join(i, first + j)
     roots = np.array([forest.root(i) for i in range(n)])
     own = np.flatnonzero(roots != np.arange(n))
-    return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[roots[own]], pa.int64())})
+    return pa.table({"a": ids.take(pa.array(own)), "b": ids.take(pa.array(roots[own]))})
 
 
 def _verified(n: int, threshold: float):
@@ -187,11 +189,11 @@ def _verified(n: int, threshold: float):
 
     def run(key, table):
         lo, hi = key[-2].as_py(), key[-1].as_py()
-        nothing = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        nothing = pa.table({"node": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.binary())})
         if table.num_rows < 2:
             return nothing
         table, split = _pairs(table, lo, hi)
-        ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        ids, copies = table.column("rep"), table.column("copies").to_numpy()
         shingler = Shingler(n)
         sets = [shingler.grams(t) for t in table.column("text").to_pylist()]
         sizes = np.array([len(s) for s in sets])
@@ -217,35 +219,58 @@ def _verified(n: int, threshold: float):
                     forest.join(i, k)
         own = np.flatnonzero(links)
         roots = np.array([forest.root(i) for i in own.tolist()], np.int64)
-        return pa.table({"node": pa.array(ids[own], pa.int64()), "links": pa.array(links[own], pa.int64()), "root": pa.array(ids[roots], pa.int64())}) if len(own) else nothing
+        return pa.table({"node": ids.take(pa.array(own)), "links": pa.array(links[own], pa.int64()), "root": ids.take(pa.array(roots))}) if len(own) else nothing
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, bucket_block: int = BUCKET_BLOCK, group_block: int = GROUP_BLOCK) -> DataFrame:
-    """doc_id, n_links (other documents at the threshold or above), class_id (smallest doc_id that links reach), kept."""
-    known = cut(signatures(docs, n, bands_for(threshold, recall, rows), rows))
-    classes = known.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = cut(classes)
-    met = classes.select("rep", "sketch", F.explode("bands").alias("band"))
+def _classes(known: DataFrame) -> DataFrame:
+    """digest, copies, first (the class's least id and text hash, null ids last), bands, sketch of each class."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("z"), F.coalesce("doc_id", F.lit(0)).alias("k"), "th")).alias("first")
+    return known.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+
+
+def _told(docs: DataFrame, known: DataFrame, n: int, threshold: float, bucket_block: int, group_block: int) -> DataFrame:
+    """digest, copies, n_links, class_first (the least ``first`` of the classes that links reach) of each class."""
+    classes = cut(_classes(known))
+    met = classes.select(F.col("digest").alias("rep"), "sketch", F.explode("bands").alias("band"))
     crowded = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = deal(met.join(crowded, "band"), ["band"], bucket_block)
-    groups = components(dealt.groupBy("band", "lo", "hi").applyInArrow(_candidates, "a long, b long"))
+    groups = components(dealt.groupBy("band", "lo", "hi").applyInArrow(_candidates, "a binary, b binary"))
     groups = groups.withColumnRenamed("node", "rep").withColumnRenamed("component", "g")
-    sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("n")), "g").join(classes.select("rep", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    own = texts.join(sized, "rep")
-    found = cut(deal(own, ["g"], group_block).groupBy("g", "lo", "hi").applyInArrow(_verified(n, threshold), "node long, links long, root long"))
-    degree = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "rep")
-    member_of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    told = classes.select("digest", "rep", "copies").join(degree, "rep", "left").join(member_of, "rep", "left")
-    told = told.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    linked = known.join(told, "digest").select("doc_id", "n_links", "class_id")
+    sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("n")), "g").join(classes.select(F.col("digest").alias("rep"), "copies", "first.*"), "rep")
+    # One text of a class, also where rows repeat both id and text; equal rows meet before the shuffle.
+    texts = keyed(docs).drop("doc_id").join(sized, ["k", "z", "th"]).groupBy("rep").agg(*(F.first(c).alias(c) for c in ("text", "g", "n", "copies")))
+    found = cut(deal(texts, ["g"], group_block).groupBy("g", "lo", "hi").applyInArrow(_verified(n, threshold), "node binary, links long, root binary"))
+    degree = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "digest")
+    member_of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
+    member_of = member_of.join(classes.select("digest", "first"), "digest")
+    least = member_of.groupBy("component").agg(F.min("first").alias("class_first"))
+    member_of = member_of.join(least, "component").select("digest", "class_first")
+    told = classes.select("digest", "copies", "first").join(degree, "digest", "left").join(member_of, "digest", "left")
+    return told.select("digest", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_first", "first").alias("class_first"))
+
+
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, bucket_block: int = BUCKET_BLOCK, group_block: int = GROUP_BLOCK) -> DataFrame:
+    """doc_id, n_links (other rows at the threshold or above), class_id (smallest doc_id that links reach, itself included), kept (whether that is its id)."""
+    known = cut(signatures(docs, n, bands_for(threshold, recall, rows), rows))
+    told = _told(docs, known, n, threshold, bucket_block, group_block)
+    class_id = F.when(~F.col("class_first.z"), F.col("class_first.k")).alias("class_id")
+    linked = looked_up(known.select("doc_id", "digest"), told, "digest").select("doc_id", "n_links", class_id)
     alone = known.filter("digest is null").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars) with one document of each group: the smallest id's."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+def deduplicated(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) with one row of each group: the one of the smallest id, null ids last.
+
+    Rows without a word are groups of their own.  Of rows that repeat a group's
+    first id and text one stays.
+    """
+    known = cut(signatures(docs, n, bands_for(threshold, recall, rows), rows))
+    first = _told(docs, known, n, threshold, BUCKET_BLOCK, GROUP_BLOCK).select("class_first.*").distinct()
+    columns = ("lang", "source", "n_chars")
+    own = keyed(docs.withColumn("_text", F.col("text")), ("_text", *columns))
+    wordless = known.filter("digest is null").select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.isnull("doc_id").alias("z"), "th").distinct()
+    kept = own.join(first, ["k", "z", "th"], "left_semi").dropDuplicates(["k", "z", "th"]).unionByName(own.join(wordless, ["k", "z", "th"], "left_semi"))
+    return kept.select("doc_id", F.col("_text").alias("text"), *columns)
