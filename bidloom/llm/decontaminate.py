@@ -3,29 +3,32 @@
 Words become a template: numbers, names (capitalised within a sentence) and
 units (after a number) turn into typed placeholders, everything else lower case.
 Windows of WINDOW template words are hashed and joined between documents and
-benchmark items.  Matching windows on one diagonal (same shift between document
-and item) are one alignment; its placeholders must map one to one from the
-item's values to the document's, so a re-parameterised question is caught and a
-text that merely shares the template is not.  Items shorter than the window are
-matched as a whole.
-
-The benchmark's windows travel to the documents when they are few (at most
-MAX_SHIPPED, counted first); a larger benchmark is joined by a shuffle on the
-window hash, of document windows whose hash the benchmark holds.
-
-A document is contaminated by an item when consistent alignments cover at least
+benchmark items; items shorter than the window are matched as a whole.  A bit
+table of fixed size with the benchmark's hashes travels to the documents first,
+so only windows the benchmark very likely holds are shuffled; it never changes
+a result, however large the benchmark is.
+
+Joined windows on one diagonal (same shift between document and item) are one
+alignment.  Its placeholders must map one to one from the item's values to the
+document's: each value's mapping is the one most of its slots have (of equals
+the smaller value), and a window with a slot that departs from it does not count
+unless it repeats the item's words to the letter.  So a re-parameterised question
+is caught, one changed number does not hide a copy, and a text that merely
+shares the template is left alone.
+
+A document is contaminated by an item when the windows that count cover at least
 MIN_COVER of the item's words.
 
 Defined results: null texts count as empty and match nothing, as do items
-without words; equal items each get their row; rows repeating a doc_id are
-independent; an empty table on either side gives no rows; other columns are not
-read.
+without words; every input row is a document (an item) of its own, also rows
+that repeat an id or have none; an empty table on either side gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MIN_COVER, MAX_SHIPPED = 8, 0.5, 2_000_000
+from bidloom.llm.shared import cut, keyed
+
+WINDOW, MIN_COVER = 8, 0.5
+#: Bits of the table of the benchmark's hashes; each hash sets two.
+BITS = 1 << 24
 MEMO_WORDS = 400_000
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units and number words, lower case.
@@ -159,135 +166,164 @@ class Vocabulary(dict):
         return h[words], doc[words]
 
 
-def consistent(pairs: list[tuple[str, str, str]]) -> bool:
-    """Whether the (slot, item value, document value) of an alignment map one to one within each slot type."""
-    there: dict[tuple[str, str], str] = {}
-    back: dict[tuple[str, str], str] = {}
-    return all(there.setdefault((s, a), b) == b and back.setdefault((s, b), a) == a for s, a, b in pairs)
+def conflicts(pairs: dict[int, tuple[str, str, str]]) -> set[int]:
+    """The places of an alignment whose (slot, item value, document value) departs from what most slots say."""
+    there: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    back: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for slot, a, b in pairs.values():
+        there[slot, a][b] += 1
+        back[slot, b][a] += 1
+
+    def most(votes: Counter) -> str:
+        return min(votes, key=lambda v: (-votes[v], v))
+
+    return {at for at, (slot, a, b) in pairs.items() if most(there[slot, a]) != b or most(back[slot, b]) != a}
+
+
+def _slots(slots: list[str], at: int, size: int) -> list[int]:
+    return [k for k in range(at, at + size) if slots[k] in (NUMBER, NAME, UNIT)]
 
 
-class Benchmark:
-    """Items with their templates, and window hash -> the places it stands at."""
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """h, item_id, item (hash of the text), copies, item_words, p, size, and at, slots, item_vals of the placeholders of each window."""
+    schema = "item_id long, item long, copies long, h long, item_words int, p int, size int, at array<int>, slots array<string>, item_vals array<string>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], window: int):
-        self.items = items
-        self.window = window
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.sizes = sorted({min(window, len(slots)) for _, slots, _ in items if slots})
+    def run(batches):
         words = WordHashes()
-        for k, (_, slots, _) in enumerate(items):
-            if slots:
-                for p, h in enumerate(window_hashes(slots, min(window, len(slots)), words).tolist()):
-                    self.places[h].append((k, p))
-        self.hashes = np.array(sorted(self.places), np.int64)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.hashes & (len(self.seen) - 1)] = True
-
-    def holders(self, texts: list[str], vocabulary: Vocabulary) -> list[int]:
-        """Which of the texts hold some window of the benchmark."""
-        slots, doc = vocabulary.templates(texts)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for item_id, item, copies, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    slots, values = template(text)
+                    size = min(window, len(slots))
+                    for p, h in enumerate(window_hashes(slots, size, words).tolist() if size else ()):
+                        own = _slots(slots, p, size)
+                        rows.append((item_id, item, copies, h, len(slots), p, size, own, [slots[k] for k in own], [values[k] for k in own]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    text = F.coalesce("text", F.lit(""))
+    own = items.groupBy("item_id", text.alias("text")).agg(F.count("*").alias("copies"))
+    return own.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("item"), "copies", "text").mapInArrow(run, schema)
+
+
+def _bits(windows: DataFrame) -> np.ndarray:
+    """BITS bools; the rows gathered are BITS / 63 at most."""
+    place = F.explode(F.array(F.expr(f"h & {BITS - 1}L"), F.expr(f"shiftrightunsigned(h, 32) & {BITS - 1}L"))).alias("b")
+    rows = windows.select(place).groupBy((F.col("b") % 63).alias("low"), F.floor(F.col("b") / 63).alias("cell")).count().groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, int(low)))").alias("bits")).toArrow()
+    table = np.zeros((BITS // 63 + 1, 63), bool)
+    cells, bits = rows.column("cell").to_numpy(), rows.column("bits").to_numpy()
+    for low in range(63):
+        table[cells, low] = bits >> low & 1
+    return table.reshape(-1)
+
+
+class Held:
+    """Finds the windows of texts that stand in the bit table."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]):
+        self.bits, self.sizes = bits, sizes
+        self.words, self.vocabulary = WordHashes(), Vocabulary()
+
+    def _hits(self, h: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(self.bits[h & BITS - 1])
+        return first[self.bits[h[first] >> 32 & BITS - 1]]
+
+    def holders(self, texts: list[str]) -> list[int]:
+        """Which of the texts hold some window."""
+        slots, doc = self.vocabulary.templates(texts)
         found: set[int] = set()
         for size in self.sizes:
             n = len(slots) - size + 1
-            if n < 1:
-                continue
-            h = _combined(slots, size).view(np.int64)
-            q = np.flatnonzero(self.seen[h & (len(self.seen) - 1)] & (doc[:n] == doc[size - 1 :]))
-            found.update(doc[q[np.isin(h[q], self.hashes)]].tolist())
+            if n >= 1:
+                q = self._hits(_combined(slots, size).view(np.int64))
+                found.update(doc[q[doc[q] == doc[q + size - 1]]].tolist())
         return sorted(found)
 
-    def matches(self, slots: list[str], values: list[str], words: WordHashes) -> list[tuple[int, int, int, int]]:
-        """(item, covered words, item words, changed slots) of the items this document holds."""
-        diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
+    def windows(self, text: str) -> list[tuple[int, int, list[str]]]:
+        """(hash, place, values of the placeholders) of a text's windows."""
+        slots, values = template(text)
+        out = []
         for size in self.sizes:
-            h = window_hashes(slots, size, words)
-            if not len(h):
-                continue
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            for q in np.flatnonzero(self.hashes[at] == h).tolist():
-                for k, p in self.places[int(h[q])]:
-                    if min(self.window, len(self.items[k][1])) == size:
-                        diagonals[k, q - p].update(range(p, p + size))
-        covered: dict[int, set[int]] = defaultdict(set)
-        changed: dict[int, int] = defaultdict(int)
-        for (k, shift), own in diagonals.items():
-            _, item_slots, item_values = self.items[k]
-            pairs = [(item_slots[p], item_values[p], values[p + shift]) for p in sorted(own) if item_slots[p] in (NUMBER, NAME, UNIT)]
-            if consistent(pairs):
-                covered[k] |= own
-                changed[k] = max(changed[k], sum(a != b for _, a, b in pairs))
-        return [(self.items[k][0], len(own), len(self.items[k][1]), changed[k]) for k, own in sorted(covered.items()) if len(own) >= MIN_COVER * len(self.items[k][1])]
-
-
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered_words", pa.int32()), ("item_words", pa.int32()), ("changed_slots", pa.int32())])
-_COLUMNS = "doc_id long, item_id long, covered_words int, item_words int, changed_slots int"
-
-
-def _shipped(own: DataFrame, shared) -> DataFrame:
-    def run(batches):
-        bench, words, vocabulary = shared.value, WordHashes(), Vocabulary()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(ids[k], *m) for k in bench.holders(texts, vocabulary) for m in bench.matches(*template(texts[k]), words)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+            h = window_hashes(slots, size, self.words)
+            out += [(int(h[q]), q, [values[k] for k in _slots(slots, q, size)]) for q in self._hits(h).tolist()]
+        return out
 
-    return own.mapInArrow(run, _COLUMNS)
 
-
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """id, h, pos, slots and values of each window; a shorter text is one window."""
+def _held_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """k, z, th (the row's key), copies (rows of that key), w array<struct<h, q, vals>> of the documents that hold some window."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # BITS bytes
 
     def run(batches):
-        words = WordHashes()
+        held = Held(shared.value, sizes)
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("q", pa.int32()), ("vals", pa.list_(pa.string()))]))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                ids, hs, ps, ss, vs = [], [], [], [], []
                 part = batch.slice(at, 128)
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    slots, values = template(t)
-                    for size in range(1, window + 1) if len(slots) else ():
-                        if size < window and part.schema.names[0] == "item_id" and size != len(slots):
-                            continue
-                        for p, h in enumerate(window_hashes(slots, size, words).tolist()):
-                            ids.append(i), hs.append(h), ps.append(p), ss.append(slots[p : p + size]), vs.append(values[p : p + size])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ps, pa.int32()), pa.array(ss, pa.list_(pa.string())), pa.array(vs, pa.list_(pa.string()))], ["id", "h", "pos", "slots", "vals"])
-
-    return texts.mapInArrow(run, "id long, h long, pos int, slots array<string>, vals array<string>")
-
-
-def _joined(own: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """The same result by a shuffle join on window hashes, for a benchmark of any size."""
-    sizes = items.select(F.col("item_id"), "text")
-    left, right = _windows(own, window), _windows(sizes, window)
-    right = right.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("p"), F.col("slots").alias("item_slots"), F.col("vals").alias("item_vals"))
-    met = left.join(right, "h").filter(F.col("slots") == F.col("item_slots"))
-    aligned = met.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("p")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.expr("transform(slots, (s, i) -> struct(p + i as at, s as slot, item_vals[i] as a, vals[i] as b))")))).alias("w")
-    )
-    typed = f"filter(w, x -> x.slot in ('{NUMBER}', '{NAME}', '{UNIT}'))"
-    ok = f"size(array_distinct(transform({typed}, x -> struct(x.slot, x.a)))) = size(array_distinct(transform({typed}, x -> struct(x.slot, x.a, x.b)))) and size(array_distinct(transform({typed}, x -> struct(x.slot, x.b)))) = size(array_distinct(transform({typed}, x -> struct(x.slot, x.a, x.b))))"
-    good = aligned.filter(F.expr(ok)).select("doc_id", "item_id", F.expr("transform(w, x -> x.at)").alias("at"), F.expr(f"size(filter({typed}, x -> x.a <> x.b))").alias("changed"))
-    cover = good.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered_words"), F.max("changed").alias("changed_slots"))
-    words = right.groupBy("item_id").agg(F.max(F.col("p") + F.size("item_slots")).alias("item_words"))
-    return cover.join(words, "item_id").filter(F.col("covered_words") >= MIN_COVER * F.col("item_words")).select("doc_id", "item_id", "covered_words", "item_words", "changed_slots")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_shipped: int = MAX_SHIPPED) -> DataFrame:
+                texts = part.column(3).to_pylist()
+                rows = held.holders(texts)
+                if rows:
+                    w = [[dict(zip(("h", "q", "vals"), x)) for x in held.windows(texts[k])] for k in rows]
+                    own = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(w, kind)], ["k", "z", "th", "w"])
+
+    found = keyed(docs).select("k", "z", "th", "text").mapInArrow(run, "k long, z boolean, th long, w array<struct<h: long, q: int, vals: array<string>>>")
+    return found.groupBy("k", "z", "th").agg(F.count("*").alias("copies"), F.first("w").alias("w"))
+
+
+def cover(windows: list[tuple[int, int, int, list[int], list[str], list[str], list[str]]]) -> tuple[int, int]:
+    """(covered words, changed slots) by (shift, p, size, at, slots, item values, document values) of one document's windows and one item's."""
+    shifts: dict[int, list] = defaultdict(list)
+    for shift, *window in windows:
+        shifts[shift].append(window)
+    covered: set[int] = set()
+    changed = 0
+    for own in shifts.values():
+        pairs = {k: pair for _, _, at, *values in own for k, *pair in zip(at, *values)}
+        wrong = conflicts(pairs)
+        counted: set[int] = set()
+        for p, size, at, _, a, b in own:
+            if a == b or wrong.isdisjoint(at):
+                counted.update(range(p, p + size))
+        covered |= counted
+        changed = max(changed, sum(k in counted and k not in wrong and a != b for k, (_, a, b) in pairs.items()))
+    return len(covered), changed
+
+
+def _judged(key, table):
+    rows = zip(*(table.column(c).to_pylist() for c in ("shift", "p", "size", "at", "slots", "item_vals", "vals")))
+    words = table.column("item_words")[0].as_py()
+    covered, changed = cover([r for r in rows if len(r[5]) == len(r[6])])
+    keep = covered >= MIN_COVER * words
+    out = {"k": key[0], "z": key[1], "th": key[2], "item_id": key[3], "copies": table.column("copies")[0]}
+    numbers = {"covered_words": covered, "item_words": words, "changed_slots": changed}
+    made = pa.table({c: pa.array([v.as_py()], v.type) for c, v in out.items()} | {c: pa.array([v], pa.int32()) for c, v in numbers.items()})
+    return made if keep else made.slice(0, 0)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """k, z, th, item_id, copies (pairs of rows), covered_words, item_words, changed_slots."""
+    items = cut(item_windows(benchmark, window))
+    sizes = sorted(r.size for r in items.select(F.col("size").alias("size")).distinct().collect())  # WINDOW rows at most
+    held = _held_windows(docs, _bits(items), sizes)
+    places = items.withColumnRenamed("copies", "item_copies")
+    met = held.select("k", "z", "th", "copies", F.inline("w")).join(places, "h")
+    met = met.withColumn("shift", F.col("q") - F.col("p")).withColumn("copies", F.col("copies") * F.col("item_copies")).drop("h", "q", "item_copies")
+    schema = "k long, z boolean, th long, item_id long, copies long, covered_words int, item_words int, changed_slots int"
+    return met.groupBy("k", "z", "th", "item_id", "item").applyInArrow(_judged, schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, covered_words, item_words, changed_slots: one row for each item that a document holds."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # bounds its windows
-    if size > max_shipped:
-        return _joined(own, items, window)
-    read = [(r.item_id, *template(r.text)) for r in items.collect()]
-    return _shipped(own, docs.sparkSession.sparkContext.broadcast(Benchmark(read, window)))
+    found = _found(docs, benchmark, window).withColumn("row", F.explode(F.expr("array_repeat(1, int(copies))")))
+    return found.select(F.when(~F.col("z"), F.col("k")).alias("doc_id"), "item_id", "covered_words", "item_words", "changed_slots")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars) without the documents that hold a benchmark item."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad, "doc_id", "left_anti")
+    """``docs`` (doc_id, text, lang, source, n_chars) without the rows that hold a benchmark item."""
+    bad = _found(docs, benchmark, WINDOW).select("k", "z", "th").distinct()
+    columns = ("lang", "source", "n_chars")
+    own = keyed(docs.withColumn("_text", F.col("text")), ("_text", *columns))
+    return own.join(bad, ["k", "z", "th"], "left_anti").select("doc_id", F.col("_text").alias("text"), *columns)
