@@ -1,25 +1,33 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Bigram and unigram counts of the whole corpus score each document:
+Every document is scored by the n-gram counts of all other documents (its own
+are taken off the corpus totals, else every n-gram would vouch for itself):
 
-    S(w | c) = count(c w) / count(c)      if count(c w) >= min_count
-             = BACKOFF * count(w) / N     otherwise, and for the first word
+    S(w | u v) = c(u v w) / c(u v)            if c(u v w) > 0
+               = BACKOFF * S(w | v)           otherwise
+    S(w | v)   = c(v w) / c(v)                if c(v w) > 0
+               = BACKOFF * S(w)               otherwise
+    S(w)       = max(c(w), 1) / N
 
-Documents fall into blocks by hash.  A block explodes its n-grams and emits
-each distinct one with its count, keyed by the hash partition it belongs to and
-packed with its neighbours there (pre-aggregation: an n-gram of a third of all
-documents is one entry a block).  Each hash partition is one piece of the count
-table; it adds up its entries and joins the totals back to the blocks that hold
-them, where the words' scores are summed per document.  The corpus total travels
-as the n-gram of order 0.
+The first words of a document start at the order that their history allows.
 
-Shuffled: the texts once, 8 bytes and a count for every distinct n-gram of a
-block, and its total back.  No table is broadcast or collected.
+N-grams of orders 1 to ORDER are rows (h, block, n): documents fall into blocks
+by hash, and a block explodes its n-grams and adds them up (so an n-gram of a
+third of all documents is one row a block).  The rows shuffle once on the
+n-gram's hash; that count table's totals are joined to the rows they came from
+in place, as a sum over the hash.  A total goes back to a block only where other
+blocks know the n-gram too: of the others a block's own count is the total.
+There it meets the block's documents, and the words' scores are summed per
+document.  The corpus total travels as the n-gram of order 0.
+
+Nothing is broadcast or collected; all n-grams of all texts count.  N-grams are
+told apart by 64-bit hashes.
 
 Defined results: words are runs of letters and digits, lower case; null text
-counts as empty; a text without words has 0 words and score 0; rows repeating a
-doc_id are independent documents; an empty table gives an empty table; other
-columns are not read.
+counts as empty; a text without words has 0 words and score 0; every input row
+is a document of its own, also where rows repeat; one document alone meets
+unseen words only; an empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -30,14 +38,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidloom.llm.packing import pack, range_starts, unpack
-
-BACKOFF, MIN_COUNT = 0.4, 2
-BLOCK_BYTES = 4 << 20
+BACKOFF, ORDER = 0.4, 3
+BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_TOTAL = np.uint64(0)
 
 
 class _Hashes(dict):
@@ -46,79 +54,91 @@ class _Hashes(dict):
         return h
 
 
-def _explode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their document; bigram hashes and the index of their second word."""
+def _explode(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The document of each word; and for each order the hashes of its n-grams and the index of their last word."""
     found = [_WORD.findall(t.lower()) for t in texts]
     sizes = np.array([len(f) for f in found], np.int64)
     memo = _Hashes()
     words = np.fromiter((memo[w] for f in found for w in f), np.uint64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    h = (words[second - 1] * _PRIME ^ words[second]) * _PRIME
-    return words, doc, h ^ h >> np.uint64(29), second
+    hashes, last = [words], [np.arange(len(words))]
+    for k in range(1, order):
+        # n-gram of order k + 1: the one of order k that ends a word before, and the word
+        whole = np.flatnonzero(doc[k:] == doc[: len(doc) - k]) + k if len(doc) > k else np.zeros(0, np.int64)
+        before = hashes[-1][np.searchsorted(last[-1], whole - 1)]
+        h = (before * _PRIME ^ words[whole]) * _PRIME
+        hashes.append(h ^ h >> np.uint64(29))
+        last.append(whole)
+    return doc, hashes, last
 
 
-def _emit(parts: int):
-    """(order, part, block, keys, counts) of a block's distinct n-grams."""
+def _count(order: int):
+    """(h, block, n): a block's distinct n-grams and how often it holds them."""
 
     def run(key, table):
-        block = key[0].as_py()
-        words, _, pairs, _ = _explode(table.column("text").to_pylist())
-        rows = [(0, 0, block, pack(np.zeros(1, np.uint64)), pack(np.array([len(words)], np.uint64)))]
-        for order, hashes in ((1, words), (2, pairs)):
-            keys, counts = np.unique(hashes, return_counts=True)
-            starts = range_starts(keys, parts)
-            rows += [(order, p, block, pack(keys[a:b]), pack(counts[a:b].astype(np.uint64))) for p, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())) if b > a]
-        o, p, b, k, c = zip(*rows)
-        return pa.table({"ord": pa.array(o, pa.int32()), "part": pa.array(p, pa.int32()), "block": pa.array(b, pa.int64()), "ngrams": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
+        doc, hashes, _ = _explode(table.column("text").to_pylist(), order)
+        keys, counts = [np.array([_TOTAL])], [np.array([len(doc)])]
+        for h in hashes:
+            k, n = np.unique(h, return_counts=True)
+            keys.append(k)
+            counts.append(n)
+        h = np.concatenate(keys).view(np.int64)
+        return pa.table({"h": pa.array(h), "block": pa.array(np.full(len(h), key[0].as_py(), np.int32)), "n": pa.array(np.concatenate(counts), pa.int64())})
 
     return run
 
 
-def _count(key, table):
-    """Totals of a hash partition's n-grams, joined back to each block's own: (ord, part, block, totals)."""
-    own = [unpack(k, np.uint64) for k in table.column("ngrams").to_pylist()]
-    counts = np.concatenate([unpack(c, np.uint64) for c in table.column("counts").to_pylist()])
-    _, at = np.unique(np.concatenate(own), return_inverse=True)
-    totals = np.bincount(at, counts.astype(np.float64)).astype(np.uint64)[at]
-    ends = np.cumsum([len(k) for k in own])
-    packed = [pack(totals[e - len(k) : e]) for k, e in zip(own, ends.tolist())]
-    return table.select(["ord", "part", "block"]).append_column("totals", pa.array(packed, pa.binary()))
+def _others(h: np.ndarray, doc: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How often other documents hold each n-gram: its total (a block's own count where none came back) less its own document's count."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    distinct, at, own = np.unique(h, return_inverse=True, return_counts=True)
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+        own = np.where(keys[place] == distinct, totals[place], own)
+    _, pair, mine = np.unique(at * (int(doc[-1]) + 1) + doc, return_inverse=True, return_counts=True)
+    return own[at] - mine[pair]
 
 
-def _score(backoff: float, min_count: int):
+def _score(backoff: float, order: int):
     def run(key, docs, totals):
         texts = docs.column("text").to_pylist()
-        words, doc, pairs, second = _explode(texts)
-        order = totals.column("ord").to_numpy()
-        found: list[np.ndarray] = []
-        for o, hashes in ((0, None), (1, words), (2, pairs)):
-            rows = totals.filter(pa.array(order == o)).sort_by("part")  # parts are ranges, so this is key order
-            all_totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(t, np.uint64) for t in rows.column("totals").to_pylist())])
-            found.append(all_totals if hashes is None else all_totals[np.unique(hashes, return_inverse=True)[1]].astype(np.float64))
-        n = float(found[0][0]) if len(found[0]) else 0.0
-        c1, c2 = found[1], found[2]
-        share = backoff * c1 / max(n, 1.0)
-        hit = c2 >= min_count
-        share[second[hit]] = c2[hit] / c1[second[hit] - 1]
-        logs = np.log(share)
+        doc, hashes, last = _explode(texts, order)
+        keys, sums = totals.column("h").to_numpy().view(np.uint64), totals.column("total").to_numpy()
+        by_key = np.argsort(keys)
+        keys, sums = keys[by_key], sums[by_key]
         count = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
+        n = sums[0] if len(keys) and keys[0] == _TOTAL else len(doc)
+        known = [_others(h, doc[at], keys, sums) for h, at in zip(hashes, last)]
+        share = np.maximum(known[0], 1) / np.maximum(n - count[doc], 1)
+        full = np.zeros(len(doc), bool)
+        for k in range(1, order):
+            c = known[k]
+            context = known[k - 1][np.searchsorted(last[k - 1], last[k] - 1)]
+            share[last[k]] *= backoff
+            hit = c > 0
+            share[last[k][hit]] = c[hit] / context[hit]
+            full[last[k]] = hit
+        logs = np.log(share)
+        if order > 1:  # the full order's hits only
+            full[np.setdiff1d(np.arange(len(doc)), last[-1])] = False
         total = np.bincount(doc, logs, minlength=len(texts)) if len(doc) else np.zeros(len(texts))
-        hits = np.bincount(doc[second[hit]], minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
+        hits = np.bincount(doc[full], minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(count, pa.int64()), "n_hits": pa.array(hits, pa.int64()), "log_score": pa.array(total, pa.float64())})
 
     return run
 
 
-def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hits (bigrams found), log_score (sum of ln S), mean_log_score (per word; 0 without words)."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hits (words found at the full order), log_score (sum of ln S), mean_log_score (per word; 0 without words)."""
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)))
-    ngrams = dealt.groupBy("block").applyInArrow(_emit(blocks), "ord int, part int, block long, ngrams binary, counts binary")
-    totals = ngrams.groupBy("ord", "part").applyInArrow(_count, "ord int, part int, block long, totals binary")
-    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(backoff, min_count), "doc_id long, n_words long, n_hits long, log_score double")
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
+    ngrams = dealt.groupBy("block").applyInArrow(_count(order), "h long, block int, n long")
+    table = ngrams.withColumn("total", F.sum("n").over(W.partitionBy("h")))
+    back = table.filter("total > n").select("block", "h", "total")
+    scored = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(backoff, order), "doc_id long, n_words long, n_hits long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
     return scored.select("doc_id", "n_words", "n_hits", "log_score", mean.alias("mean_log_score"))
 
@@ -131,20 +151,27 @@ def scores(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = f"""
 WITH t AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents
-), w AS (
+), x AS (
   SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM t
-), b AS (
-  SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w
-), u AS (
-  SELECT w, count(*) AS n FROM w GROUP BY w
-), p AS (
-  SELECT c, w, count(*) AS n FROM b WHERE c IS NOT NULL GROUP BY c, w
+), g AS (
+  SELECT doc_id, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), c AS (
+  SELECT doc_id, i,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+    CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) ELSE 0 END AS c2,
+    CASE WHEN i >= 3 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) ELSE 0 END AS c3,
+    count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
+  FROM g
 ), s AS (
-  SELECT b.doc_id, coalesce(p.n >= {MIN_COUNT}, false) AS hit,
-    ln(CASE WHEN p.n >= {MIN_COUNT} THEN p.n / uc.n::DOUBLE ELSE {BACKOFF} * uw.n / (SELECT sum(n) FROM u)::DOUBLE END) AS l
-  FROM b JOIN u uw ON uw.w = b.w LEFT JOIN u uc ON uc.w = b.c LEFT JOIN p ON p.c = b.c AND p.w = b.w
+  SELECT doc_id, i, c1, c2, c3, n, lag(c1) OVER d AS b1, lag(c2) OVER d AS b2 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), l AS (
+  SELECT doc_id, c3 > 0 AS hit, ln(CASE
+    WHEN c3 > 0 THEN c3 / b2::DOUBLE
+    WHEN c2 > 0 THEN (CASE WHEN i >= 3 THEN {BACKOFF} ELSE 1 END) * c2 / b1::DOUBLE
+    ELSE (CASE WHEN i >= 3 THEN {BACKOFF}::DOUBLE * {BACKOFF} WHEN i = 2 THEN {BACKOFF} ELSE 1 END) * greatest(c1, 1) / greatest(n, 1)::DOUBLE END) AS l
+  FROM s
 ), d AS (
-  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE hit) AS n_hits, sum(l) AS l FROM s GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE hit) AS n_hits, sum(l) AS l FROM l GROUP BY doc_id
 )
 SELECT t.doc_id, coalesce(d.n_words, 0)::BIGINT AS n_words, coalesce(d.n_hits, 0)::BIGINT AS n_hits,
   round(coalesce(d.l, 0), 6) AS log_score, round(coalesce(d.l / d.n_words, 0), 6) AS mean_log_score
