@@ -20,7 +20,8 @@ def range_width(parts: int) -> int:
     return -(-(1 << 64) // parts)
 
 
-def range_starts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash range begins in sorted keys, and their end: parts + 1 positions."""
-    bounds = np.array([min(p * range_width(parts), (1 << 64) - 1) for p in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
+def ranges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the sorted keys in each hash range that holds some; linear in the keys, however many ranges there are."""
+    own = keys // np.uint64(range_width(parts)) if parts > 1 else np.zeros_like(keys)
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(keys)]
+    return [(int(own[a]), a, b) for a, b in zip(cuts, cuts[1:]) if b > a]

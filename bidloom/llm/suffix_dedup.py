@@ -17,6 +17,10 @@ places, so the suffixes at anchors (about one byte in forty) are enough.
    its block as removed intervals.
 4. Each block joins the intervals to its documents.
 
+A block writes a row for each hash range that it has something for, at most one
+a suffix, so rows and work stay linear in the input when ranges outnumber a
+block's suffixes.
+
 Of anchors more frequent than HOT each window is a suffix of its own, dealt by
 the window's hash, so a very common string is many small groups.
 
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.packing import pack, range_starts, range_width, unpack
+from bidloom.llm.packing import pack, range_width, ranges, unpack
 
 WINDOW, K, HOT = 100, 24, 100_000
 BLOCK_BYTES, CHUNK = 4 << 20, 1 << 20
@@ -102,8 +106,7 @@ def _anchor_hashes(texts: list[bytes]) -> np.ndarray:
 def _emit_hashes(parts: int):
     def run(key, table):
         keys, counts = np.unique(_anchor_hashes(_documents(table)[1]), return_counts=True)
-        starts = range_starts(keys, parts).tolist()
-        own = [(p, a, b) for p, (a, b) in enumerate(zip(starts, starts[1:])) if b > a]
+        own = ranges(keys, parts)
         return pa.table(
             {
                 "part": pa.array([p for p, _, _ in own], pa.int32()),
