@@ -22,8 +22,10 @@ over the log counts of these kinds gives the score.
 
 Defined results: null text counts as empty; texts without matches get the score
 of no evidence (below 0.5); where the training rows lack a class the lexicon is
-empty and every score is 0; repeated ids are independent rows; labels repeated
-for an id count as toxic if any of them is, null labels are no labels; an
+empty and every score is 0; repeated ids are independent rows, each labelled as
+its id is; a row without an id is no training row and not held out; words of any
+length are terms, but only those of five letters or more are met misspelt;
+labels repeated for an id count as toxic if any of them is, null labels are no labels; an
 empty table gives an empty table; lang, source and ids are never inputs.
 """
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,12 +47,12 @@ from bidloom.llm.shared import cut
 
 #: Labelled rows of each class that the lexicon and the weights are learned from, at most.
 MAX_ROWS = {1: 5_000, 0: 10_000}
-#: Terms of the lexicon, at most: those with the most evidence.
-MAX_TERMS = 1_000
 #: Evidence a term needs: contexts, forms of a stem, and what clean texts may have of it.
 MIN_CONTEXTS, MIN_STEM_WORDS, MAX_CLEAN_SHARE = 3, 2, 0.02
 WINDOW = 6
 MEMO_WORDS = 300_000
+#: With more alphabets among the terms than these, trying each costs more than the walk it saves.
+MANY = 64
 #: Near copies among the training texts: bands of four least hashes of neighbour triples, and the share of bands met.
 BANDS, BAND_ROWS, COPY_SHARE = 16, 4, 0.25
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -128,8 +131,11 @@ class Trie:
     def near(self, word: str) -> set[str]:
         """The whole terms within their edits of ``word``: one for five letters or more, two from nine; a swap of neighbours is one.
 
-        The automaton of ``within``, from the root.  A swap reads two letters at
-        once: it goes on from the state before the last letter of the trie.  Words
+        The word's Levenshtein automaton advances with each letter of the trie,
+        from its root.  Bit i of its k-th state tells that i letters of the word
+        are read with at most k edits; a branch is left when no state is alive.
+        A swap reads two letters at once: it goes on from the state before the
+        last letter of the trie.  Words
         that share no form with letters left out with any term are never walked:
         a term within k edits has one in common, each with k left out at most;
         nor are words that lack, or have besides, more than k letters of every term,
@@ -151,7 +157,7 @@ class Trie:
         for edits, trie, alphabets, parts, sizes, forms in self.by_edits:
             if not trie.root or not trie.shortest - edits <= n <= trie.longest + edits:
                 continue
-            if not any((a & ~has).bit_count() <= edits and (has & ~a).bit_count() <= edits for a in alphabets):
+            if len(alphabets) <= MANY and not any((a & ~has).bit_count() <= edits and (has & ~a).bit_count() <= edits for a in alphabets):
                 continue
             if parts and not any(word[i : i + size] in parts for size in sizes for i in range(n - size + 1)) or forms.isdisjoint(thinned(word, edits)):
                 continue
@@ -178,44 +184,6 @@ class Trie:
                             stack.append((child, following, states, mask))
         return found
 
-    def within(self, word: str, edits: int) -> set[str]:
-        """The whole terms with this first letter within ``edits``: of five letters or more, for two edits of nine.
-
-        The word's Levenshtein automaton advances with each letter of the trie.
-        Bit i of its k-th state tells that i letters of the word are read with
-        at most k edits; a branch is left when no state is alive.
-        """
-        node = self.root.get(word[0])
-        n = len(word)
-        found: set[str] = set()
-        if node is None or n > self.longest + edits:
-            return found
-        end, full = 1 << n, (2 << n) - 1
-        masks: dict[str, int] = {}
-        for i, letter in enumerate(word):
-            masks[letter] = masks.get(letter, 0) | 1 << i
-        start = [(2 << (k + 1)) - 2 for k in range(edits + 1)]  # the first letter is read
-        stack = [(node, start)]
-        while stack:
-            node, states = stack.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    if len(child) >= 5 and (states[1] & end or len(child) >= 9 and states[-1] & end):
-                        found.add(child)
-                elif letter != "*":
-                    mask = masks.get(letter, 0)
-                    below = states[0]
-                    now = (below & mask) << 1
-                    following = [now]
-                    for k in range(1, edits + 1):
-                        state = states[k]
-                        now = ((state & mask) << 1 | below | below << 1 | now << 1) & full
-                        following.append(now)
-                        below = state
-                    if now:
-                        stack.append((child, following))
-        return found
-
 
 class Matcher(dict):
     """Word -> its kind of match, remembered for the words of a worker's texts."""
@@ -271,7 +239,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Whether a row is kept from learning; one without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def bands(text: str) -> list[tuple[int, int]]:
@@ -307,7 +276,7 @@ def originals(sample: DataFrame) -> DataFrame:
 
 
 def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
-    """(term, kind) with the most evidence, MAX_TERMS at most; kind is word, plain (a word matched exactly only) or stem."""
+    """(term, kind) of all words and stems with enough evidence, most first; kind is word, plain (a word matched exactly only) or stem."""
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +286,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
                 for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     w = ["", *_WORD.findall(text.lower()), ""]
                     ids = [xxhash.xxh3_64_intdigest(x) for x in w]
-                    rows.update((w[i], ((ids[i - 1] * 31 ^ ids[i + 1]) & (1 << 63) - 1), toxic) for i in range(1, len(w) - 1) if 4 <= len(w[i]) <= 24)
+                    rows.update((w[i], ((ids[i - 1] * 31 ^ ids[i + 1]) & (1 << 63) - 1), toxic) for i in range(1, len(w) - 1))
                 if rows:
                     a, b, c = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(rows.values(), pa.int64())], ["word", "pair", "toxic", "n"])
@@ -333,7 +302,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
     whole = counts.filter(enough).select("word", F.lit("word").alias("kind"), "bad")
     stems = counts.select("bad", "good", "seen", "word", F.explode(F.array([F.substring("word", 1, n) for n in (4, 5, 6, 7)])).alias("stem")).filter(F.length("word") > F.length("stem"))
     stems = stems.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("seen").alias("seen"), F.count_if(F.col("bad") > 0).alias("forms")).filter(enough & (F.col("forms") >= MIN_STEM_WORDS) & (F.col("bad") >= 1.5 * least))
-    best = whole.union(stems.select(F.col("stem").alias("word"), F.lit("stem").alias("kind"), "bad")).orderBy(F.desc("bad"), "word", "kind").limit(MAX_TERMS)
+    best = whole.union(stems.select(F.col("stem").alias("word"), F.lit("stem").alias("kind"), "bad")).orderBy(F.desc("bad"), "word", "kind")  # words of MAX_ROWS rows, of which each takes several
     terms = [(r.word, r.kind) for r in best.collect()]
     fuzzy = Trie([t for t in terms if t[1] == "word"])
 
@@ -398,16 +367,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, fit(np.repeat(x, n, 0), np.repeat(y, n)))
 
 
-_SCORERS: dict[int, object] = {}
+_SCORERS: dict[str, object] = {}
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the kept columns, score and predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS short strings at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of MAX_ROWS rows
+    key = uuid.uuid4().hex  # of this job: workers outlive jobs
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = shared.value.scorer()

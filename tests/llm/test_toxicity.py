@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
 from bidloom.llm import toxicity
 from data import DOCS, docs
+from pyspark.sql import functions as F
 
 
 def corpus():
@@ -32,26 +34,6 @@ def test_held_out_rows_are_told_apart(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
-def test_automaton_equals_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    draw = random.Random(8)
-    terms = ["".join(draw.choices("abc", k=draw.randrange(5, 12))) for _ in range(60)]
-    trie = toxicity.Trie([(t, "word") for t in terms])
-    for _ in range(300):
-        w = "".join(draw.choices("abc", k=draw.randrange(4, 12)))
-        for edits in (1, 2):
-            want = {t for t in terms if t[0] == w[0] and distance(w[1:], t[1:]) <= (edits if len(t) >= 9 else 1)}
-            assert trie.within(w, edits) == want, (w, edits)
-
-
 def test_quotation_weighs_less_than_abuse():
     matcher = toxicity.Matcher([("zorgling", "word")])
     quoted, addressed = matcher.features('they said the word "zorgling" is rude'), matcher.features("you zorgling")
@@ -126,3 +108,61 @@ def test_no_filter_before_the_walk_loses_a_term():
             w = (w[:i] + w[i + 1 :], w[:i] + draw.choice(alphabet) + w[i:], w[:i] + draw.choice(alphabet) + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :])[kind]
             first = i + (0, 1, 1, 2)[kind]
         assert term in trie.near(w), (term, w)
+
+
+def brute_features(text, terms):
+    """The model's inputs by comparing every word with every term."""
+
+    def distance(a, b):
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    words, stems = [t for t, k in terms if k != "stem"], [t for t, k in terms if k == "stem"]
+    near = [t for t, k in terms if k == "word" and len(t) >= 5]
+    spans = list(toxicity._WORD.finditer(text.lower()))
+    tokens = [m.group() for m in spans]
+    hits = quoted = addressed = 0
+    for i, w in enumerate(tokens):
+        folded = re.sub(r"(.)\1{2,}", r"\1", w.translate(toxicity.FOLD))
+        whole = w in words or any(w.startswith(x) for x in stems)
+        if not whole and not folded in words and not (len(folded) >= 4 and any(distance(folded, t) <= 1 + (len(t) >= 9) for t in near)):
+            continue
+        hits += 1 if whole else toxicity.FUZZY
+        around = tokens[max(0, i - toxicity.WINDOW) : i] + tokens[i + 1 : i + 1 + toxicity.WINDOW // 2]
+        s, e = spans[i].span()
+        if text[s - 1 : s] in toxicity._QUOTES and s or text[e : e + 1] in toxicity._QUOTES and e < len(text) or any(x in toxicity.QUOTING for x in around):
+            quoted += 1
+        elif any(x in toxicity.ADDRESS for x in around):
+            addressed += 1
+    return np.log1p([hits, quoted, addressed])
+
+
+def test_scores_equal_every_word_against_every_term(spark):
+    rows = corpus()
+    texts = [t for t, _ in rows[:150]] + [None, "", 'you zorglin9! "vexxor" he said, quimplsts zorglin', "xzorgling vexor quimplestt 5", "zorgling " * 3000]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows[:150])], "doc_id long, toxic int")
+    frame = docs(spark, texts)
+    model = toxicity.train(frame, labels)
+    want = []
+    for t in texts:
+        x = brute_features(t or "", model.terms)
+        want.append(1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1]))))
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert model.terms and np.allclose([got[i] for i in range(len(texts))], want)
+
+
+def test_repeated_and_missing_ids_and_clashing_columns(spark):
+    rows = corpus()
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int").withColumn("text", F.lit("zorgling"))
+    some = [(i, t, "en", "s", 1, 0.5, 1) for i, (t, _) in enumerate(rows)] + [(None, "you zorgling vexxor", "en", "s", 1, 0.5, 1)] + [(7, "plain", "en", "s", 1, 0.5, 1)] * 2
+    frame = spark.createDataFrame(some, DOCS + ", score double, toxic int")
+    got = toxicity.classify(frame, labels).collect()
+    assert len(got) == len(some) and {r.held_out for r in got if r.doc_id is None} == {False} and all(r.predicted for r in got if r.doc_id is None)
+    assert sum(r.doc_id == 7 for r in got) == 3
+    kept = toxicity.clean(frame, labels)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.filter("doc_id is null").count() == 0 and kept.filter("doc_id = 7 and text = 'plain'").count() == 2
