@@ -7,14 +7,17 @@ from the recall wanted at the threshold.  Vectors that meet are compared exactly
 in double precision, in blocks inside a bucket: a bucket's task returns counts
 and a spanning forest of the links it found, never the pairs; a bucket of more
 than BLOCK vectors is dealt out as pairs of blocks, so no task holds a whole hot
-bucket.  Equal vectors are one class from the start.
+bucket.  Equal vectors of a label are one class from the start, keyed by a 128-bit
+digest and never by an id.  Exact counts need every pair of different vectors of
+a bucket: one of n vectors ships each of them n / BLOCK times.
 
 A pair that meets in several tables counts in the first of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and those without a label, link with nothing (0 links, own
-component, kept); vectors of different length never link; repeated vec_ids give
-repeated rows with the same values; an empty table gives an empty table; other
+component, kept); vectors of different length never link; every input row is a
+vector of its own, also rows that repeat a vec_id or have none (a null id is
+larger than any other); an empty table gives an empty table; other
 columns are not read.
 """
 
@@ -24,11 +27,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.links import components
-from bidloom.llm.shared import cut
+from bidloom.llm.shared import cut, looked_up
 
 PROJECTIONS, WIDTH, BLOCK, SEED = 14, 1.6, 2048, 20
 
@@ -80,7 +84,11 @@ def _hashed(tables: int):
                 own = flat[starts[rows][:, None] + np.arange(size)]
                 sig[rows] = _signatures(_unit(own, len(rows)), tables)
             made = pa.ListArray.from_arrays(np.arange(0, batch.num_rows * tables + 1, tables, np.int32), sig.reshape(-1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "sig"])
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
+            kind = np.dtype(flat.dtype).itemsize
+            data = flat.tobytes()
+            reps = [xxhash.xxh3_128_digest(data[a * kind : (a + n) * kind], seed=xxhash.xxh3_64_intdigest(repr(x))) for a, n, x in zip(starts.tolist(), sizes.tolist(), labels)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, made, pa.array(reps, pa.binary())], [*batch.schema.names, "sig", "rep"])
 
     return run
 
@@ -90,16 +98,14 @@ def _links_in_block(threshold: float):
 
     def run(key, table):
         t, lo, hi = key[0].as_py(), key[-2].as_py(), key[-1].as_py()
-        empty = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        empty = pa.table({"node": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.binary())})
         n = table.num_rows
         if n < 2:
             return empty
-        table = table.combine_chunks()
-        ids, copies, chunk = (table.column(c).to_numpy() for c in ("rep", "copies", "c"))
+        table = table.sort_by([("c", "ascending"), ("rep", "ascending")]).combine_chunks()
+        ids, copies, chunk = table.column("rep"), table.column("copies").to_numpy(), table.column("c").to_numpy()
         x = _unit(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), n)
         sig = table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        order = np.lexsort((ids, chunk))
-        ids, copies, chunk, x, sig = ids[order], copies[order], chunk[order], x[order], sig[order]
         split = int((chunk == lo).sum()) if lo != hi else 0
         links, parent = np.zeros(n, np.int64), np.arange(n)
 
@@ -125,13 +131,11 @@ def _links_in_block(threshold: float):
             for a, b in zip(i.tolist(), j.tolist()):
                 a, b = root(a), root(b)
                 if a != b:
-                    if ids[a] > ids[b]:
-                        a, b = b, a
-                    parent[b] = a
+                    parent[max(a, b)] = min(a, b)
         own = np.flatnonzero(links)
         if not len(own):
             return empty
-        return pa.table({"node": pa.array(ids[own], pa.int64()), "links": pa.array(links[own], pa.int64()), "root": pa.array(ids[[root(i) for i in own.tolist()]], pa.int64())})
+        return pa.table({"node": ids.take(pa.array(own)), "links": pa.array(links[own], pa.int64()), "root": ids.take(pa.array([root(i) for i in own.tolist()]))})
 
     return run
 
@@ -142,8 +146,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     own = vectors.select("vec_id", "embedding", "label")
     sound = F.col("label").isNotNull() & F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     valid = own.filter(sound)
-    classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    columns = "label int, embedding array<float>, rep long, copies long, sig array<long>".replace("label int", f"label {dict(own.dtypes)['label']}").replace("array<float>", dict(own.dtypes)["embedding"])
+    first = F.min(F.struct(F.isnull("vec_id").alias("z"), F.coalesce("vec_id", F.lit(0)).cast("long").alias("k"))).alias("first")
+    classes = valid.groupBy("label", "embedding").agg(first, F.count("*").alias("copies"))
+    kinds = dict(own.dtypes)
+    columns = f"label {kinds['label']}, embedding {kinds['embedding']}, first struct<z: boolean, k: long>, copies long, sig array<long>, rep binary"
     reps = cut(classes.mapInArrow(_hashed(tables), columns))
     met = reps.select("rep", "label", F.size("embedding").alias("d"), F.posexplode("sig").alias("t", "bucket"))
     crowded = met.groupBy("t", "bucket", "label", "d").agg(F.count("*").alias("n")).filter("n > 1")
@@ -151,12 +157,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     dealt = members.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("t", "bucket", "label", "d", "rep", "c", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"))
     full = dealt.join(reps.select("rep", "embedding", "copies", "sig"), "rep")
-    found = cut(full.groupBy("t", "bucket", "label", "d", "lo", "hi").applyInArrow(_links_in_block(threshold), "node long, links long, root long"))
-    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    member_of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = reps.select("rep", "label", "embedding", "copies").join(degree.withColumnRenamed("node", "rep"), "rep", "left").join(member_of.withColumnRenamed("node", "rep"), "rep", "left")
-    told = known.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.join(told, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    found = cut(full.groupBy("t", "bucket", "label", "d", "lo", "hi").applyInArrow(_links_in_block(threshold), "node binary, links long, root binary"))
+    degree = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "rep")
+    member_of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    member_of = member_of.join(reps.select("rep", "first"), "rep")
+    least = member_of.groupBy("component").agg(F.min("first").alias("reached"))
+    known = reps.select("rep", "label", "embedding", "copies", "first").join(degree, "rep", "left").join(member_of.join(least, "component").select("rep", "reached"), "rep", "left")
+    told = known.select("label", "embedding", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("reached", "first").alias("reached"))
+    linked = looked_up(valid, told, ["label", "embedding"]).select("vec_id", "n_links", F.when(~F.col("reached.z"), F.col("reached.k")).alias("component_id"))
     alone = own.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     known = cut(signatures(docs, n, bands_for(threshold, recall, rows), rows))
     told = _told(docs, known, n, threshold, bucket_block, group_block)
     class_id = F.when(~F.col("class_first.z"), F.col("class_first.k")).alias("class_id")
-    linked = looked_up(known.select("doc_id", "digest"), told, "digest").select("doc_id", "n_links", class_id)
+    linked = looked_up(known.select("doc_id", "digest"), told, ["digest"]).select("doc_id", "n_links", class_id)
     alone = known.filter("digest is null").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

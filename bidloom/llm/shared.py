@@ -30,7 +30,7 @@ def keyed(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), *columns, *key)
 
 
-def looked_up(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+def looked_up(rows: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` with the columns of their class (``key``, copies, ...).
 
     Classes of over a thousandth of all rows, of which there are less than a
@@ -39,5 +39,5 @@ def looked_up(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     classes = cut(classes)
     bound = F.lit(rows.count() / 1000)
     hot = classes.filter(F.col("copies") > bound)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.filter(F.col("copies") <= bound), key)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(classes.filter(F.col("copies") <= bound), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)

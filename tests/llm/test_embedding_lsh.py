@@ -50,3 +50,11 @@ def test_repeated_rows_empty_table_and_recall(spark):
     assert embedding_lsh.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     meet = embedding_lsh.agreement(0.2) ** embedding_lsh.PROJECTIONS
     assert 1 - (1 - meet) ** embedding_lsh.tables_for(0.98, 0.9999) >= 0.9999
+
+
+def test_every_row_is_a_vector_of_its_own(spark):
+    a, b, c = [1.0, 2.0, 0.5], [1.0, 2.0, 0.51], [-3.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (1, c, 0), (None, a, 0), (None, b, 1), (None, b, 1), (2**60 + 1, c, 0), (2**60, c, 1)]
+    frame = spark.createDataFrame([(*r, 9, 9) for r in rows], SCHEMA + ", sig int, copies int")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in embedding_lsh.near_duplicates(frame).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (-1, 2, 1, False), (-1, 1, -1, True), (-1, 1, -1, True), (2**60 + 1, 1, 1, False), (2**60, 0, 2**60, True)])
