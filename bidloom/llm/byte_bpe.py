@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,11 +166,11 @@ class Codec(dict):
         return self.flat[np.arange(total) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
 
 
-_CODECS: dict[tuple, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
-    key = (id(shared.value), pattern)
+def _codec(shared, pattern: str, key: str) -> Codec:
+    """The worker's codec of this job; ``key`` is drawn for each job, as workers outlive them."""
     if key not in _CODECS:
         _CODECS.clear()
         ranks, perfect = shared.value
@@ -185,6 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
     ranks = read_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash.build(ranks)))
+    key = uuid.uuid4().hex
     own = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = pa.schema(
         [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -192,7 +194,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(shared, pattern, key)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
                 part = batch.slice(at, 256)
