@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL, "op10_lm_score": lm_score.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op3_html_text": html_text.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL, "op10_lm_score": lm_score.ORACLE_SQL}
