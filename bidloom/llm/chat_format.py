@@ -150,7 +150,9 @@ def masked(formatted: DataFrame) -> DataFrame:
     header = F.lit(f"{START}assistant\n")
 
     def piece(start: Column, chars: Column) -> Column:
-        return F.decode(F.substring(F.col("wide"), (4 * start + 1).cast("int"), (4 * chars).cast("int")), "UTF-32")
+        # The letter before it keeps a first U+FEFF from being read as a mark.
+        cut = F.concat(F.unhex(F.lit("00000041")), F.substring(F.col("wide"), (4 * start + 1).cast("int"), (4 * chars).cast("int")))
+        return F.substr(F.decode(cut, "UTF-32"), F.lit(2))
 
     def applied(m: Column) -> Column:
         text = piece(m["target_start"], m["target_chars"])

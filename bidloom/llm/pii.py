@@ -1,15 +1,16 @@
 r"""Personal data by weak supervision, in DataFrame and SQL functions only.
 
 Three labelers vote on every candidate span, each 1 (personal), 0 (not) or -1
-(abstains): the pattern with its check (Luhn, octet range, digit count), a
-gazetteer (card issuers, calling codes, mail domains, reserved networks, given
-names) and the words just before the span.  Expectation-maximisation over the
-counts of vote patterns estimates each labeler's reliability per kind; the
-posteriors weight the training counts of a naive Bayes span classifier.
+(abstains): the pattern labeler (the span's form: checks, grouping, leading
+zeros), a gazetteer (card issuers, calling and area codes, mail domains, reserved
+networks, given names, surname endings, words that are no surnames) and the words
+just before the span.  Expectation-maximisation over the counts of vote patterns
+estimates each labeler's reliability per kind; the posteriors weight the training
+counts of a naive Bayes span classifier.
 
 The base kinds email, ip, card and phone are always kept when their check holds.
-The classifier decides on the kinds that have no check, ``name`` and
-``local_phone``: they stay when it favours them and two labelers agree.
+On the kinds that have no check, ``name`` and ``local_phone``, the classifier
+alone decides.
 
 Only vote patterns and feature counts are ever aggregated (a few hundred groups
 at any input size), so no document travels; the candidates are checkpointed
@@ -17,8 +18,10 @@ once, without texts, for training and decision.
 
 Positions count code points from 0, ends are exclusive.  Defined results: null
 text counts as empty; documents without spans have zero counts and the digest
-of the empty string; each input row, also a repeated one, gives one row; empty
-tables give empty tables; other columns are not read by ``find``.
+of the empty string; overlapping spans are redacted as one, of the kind of the
+first (of equal starts the kind listed first); each input row, also a repeated
+one or one without an id, gives one row; empty tables give empty tables; other
+columns are not read by ``find``; work is linear in the text and its spans.
 """
 
 from __future__ import annotations
@@ -53,14 +56,26 @@ WORTH = {
     "local_phone": r"text rlike '[0-9]{3}[ .-][0-9]{4}(?![0-9])'",
     "name": r"text rlike '\\b(?:" + "|".join([*TITLES, *GIVEN_NAMES]) + r")\\b'",
 }
+#: The pattern labeler's votes, as SQL over x.v, the span's text; CHECK stands for the kind's check.
+FORMS = {
+    "email": r"if(x.v rlike '^[.]|[.][.]|[.]@|@-', 0, if(x.v rlike '[.][A-Za-z]{2,}$', 1, -1))",
+    "ip": r"if(not CHECK or x.v rlike '(?:^|[.])0[0-9]', 0, if(x.v rlike '^[0-9][.][0-9][.][0-9][.][0-9]$', -1, 1))",
+    "card": r"if(CHECK, if(x.v rlike '^(?:[0-9]{4}[ -]?){3,4}[0-9]{0,4}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5,6}$', 1, -1), 0)",
+    "phone": r"if(CHECK, if(x.v rlike '[ ().-]{3}', -1, 1), 0)",
+    "local_phone": r"if(x.v rlike '[ ).-][2-9][0-9]{2}[ .-][0-9]{4}$', 1, 0)",
+    "name": r"if(x.v rlike ' \\p{Lu}\\p{Ll}{2,}$', 1, 0)",
+}
+#: Capitalised words that follow a given name or title without being a surname, and endings of surnames.
+NO_SURNAMES = "January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|Street|Avenue|Road|Square|University|College|School|Hotel|Hospital|Church|County|River|Island|Straße|Platz|Allee|Kirche|Schule|Rue|Place|Calle|Plaza"
+SURNAME_ENDINGS = "son|sen|mann|berg|stein|bauer|meier|meyer|müller|ez|ini|ski|sky|ova|ov|eau|ton|ley|man|er|ith|ard|ell"
 #: The gazetteer's votes, as SQL over v, the span's text.
 GAZETTEER = {
     "email": r"if(lower(v) rlike '[.](?:com|org|net|edu|gov|info|eu|de|fr|es|uk|ch|at|io)$', 1, -1)",
     "ip": r"if(v rlike '^(?:0|10|127|255|22[4-9]|2[3-5][0-9])[.]' or v rlike '^192[.]168[.]', 0, 1)",
     "card": r"if(v rlike '^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)', 1, 0)",
     "phone": r"if(v rlike '^[+](?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])', 1, -1)",
-    "local_phone": r"if(v rlike '^[(]?(?:[2-9]11)', 0, -1)",
-    "name": r"if(v rlike '(?:" + "|".join(GIVEN_NAMES) + r")', 1, -1)",
+    "local_phone": r"if(v rlike '^[(]?(?:[2-9]11|[2-9]9[0-9]|37[0-9]|96[0-9]|8(?:00|22|33|44|55|66|77|88))', 0, 1)",
+    "name": r"if(v rlike ' (?:" + NO_SURNAMES + r")$', 0, if(v rlike '^(?:" + "|".join(GIVEN_NAMES) + r") |(?:" + SURNAME_ENDINGS + r")$', 1, -1))",
 }
 #: Words before a span that speak for its kind; and against any.
 CUES = {
@@ -112,7 +127,7 @@ CHECKS = {
     "card": _luhn("x.v"),
     "phone": f"length({_digits('x.v')}) between 8 and 15",
     "local_phone": "true",
-    "name": "x.v rlike ' '",
+    "name": "true",
 }
 
 
@@ -125,11 +140,11 @@ def candidates(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
         v = "x.v"
         # Long digit runs that are no card at all are left out before the votes: over half of all numbers.
         kept = f"filter(_m{k}, x -> length({_digits(v)}) between 13 and 19)" if kind == "card" else f"_m{k}"
-        regex = f"if({CHECKS[kind]}, 1, 0)"
+        form = FORMS[kind].replace("CHECK", CHECKS[kind])
         gazetteer = f"transform(array(x.v), v -> {GAZETTEER[kind]})[0]"
         context = f"if(lower(x.c) rlike '\\\\b(?:{CUES[kind]})', 1, if(lower(x.c) rlike '\\\\b(?:{AGAINST})', 0, -1))"
         arrays.append(
-            f"""transform({kept}, x -> named_struct('k', {k}, 's', x.s, 'e', x.e, 'r', {regex}, 'g', {gazetteer}, 'c', {context},
+            f"""transform({kept}, x -> named_struct('k', {k}, 's', x.s, 'e', x.e, 'b', {CHECKS[kind]}, 'r', {form}, 'g', {gazetteer}, 'c', {context},
             'f', array(concat('d', least(length({_digits(v)}), 20)), concat('p', length(regexp_replace(x.v, '[^ ().-]', ''))), concat('l', least((x.e - x.s) div 4, 12)),
             concat('b', if(x.c = '', '^', if(right(x.c, 1) rlike '\\\\p{{L}}', 'a', right(x.c, 1)))))))"""
         )
@@ -166,13 +181,13 @@ def reliabilities(spans: DataFrame) -> DataFrame:
 def classifier(spans: DataFrame) -> DataFrame:
     """One row with ``weights``, a map 'kind:feature' -> log likelihood ratio, and 'kind:' -> log prior odds.
 
-    Counts are weighted by the posteriors of the reliabilities; the votes of
-    gazetteer and context are features beside the span's shape.
+    Counts are weighted by the posteriors of the reliabilities; the votes are
+    features beside the span's shape.
     """
     judged = spans.join(F.broadcast(reliabilities(spans)), "k")  # one row per kind
     judged = judged.select(
         "k",
-        F.expr("concat(f, array(concat('g', g), concat('c', c)))").alias("f"),
+        F.expr("concat(f, array(concat('r', r), concat('g', g), concat('c', c)))").alias("f"),
         F.expr(f"transform(array(named_struct('r', r, 'g', g, 'c', c)), x -> 1 / (1 + exp(-({_logit('q', 'x')}))))[0]").alias("y"),
     )
     totals = judged.groupBy("k").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
@@ -187,8 +202,8 @@ def find(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     found = cut(candidates(docs, extra))
     flat = found.select(F.explode("spans").alias("x")).select("x.*")
     weights = classifier(flat).scalar()
-    score = "coalesce(w[concat(x.k, ':')], 0D) + aggregate(concat(x.f, array(concat('g', x.g), concat('c', x.c))), 0D, (t, f) -> t + coalesce(w[concat(x.k, ':', f)], 0D))"
-    keep = f"if(x.k < {len(BASE)}, x.r = 1, ({score}) > 0 and int(x.r = 1) + int(x.g = 1) + int(x.c = 1) >= 2)"
+    score = "coalesce(w[concat(x.k, ':')], 0D) + aggregate(concat(x.f, array(concat('r', x.r), concat('g', x.g), concat('c', x.c))), 0D, (t, f) -> t + coalesce(w[concat(x.k, ':', f)], 0D))"
+    keep = f"if(x.k < {len(BASE)}, x.b, ({score}) > 0)"
     decided = found.withColumn("w", weights).withColumn("spans", F.expr(f"transform(filter(spans, x -> {keep}), x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'base', x.k < {len(BASE)}))"))
     return decided.select("doc_id", *(extra or []), F.array_sort("spans").alias("spans"))
 
@@ -203,19 +218,30 @@ def digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.expr(f"array_join({written.format('spans')}, ',')").alias("spans"))
 
 
-def _merged(spans: str) -> str:
-    """SQL: spans by start, those that overlap joined into one of the first one's kind."""
-    ordered = f"array_sort(transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
-    last = "element_at(a, -1)"
-    joined = f"concat(slice(a, 1, size(a) - 1), array(named_struct('s', {last}.s, 'e', greatest({last}.e, x.e), 'k', {last}.k)))"
-    return f"aggregate({ordered}, cast(array() as array<struct<s:bigint,e:bigint,k:int>>), (a, x) -> if(size(a) > 0 and x.s < {last}.e, {joined}, array_append(a, x)))"
+def _heads(spans: str) -> str:
+    """SQL: struct of ``z``, the spans by start that begin where no earlier one still runs (s, k, and m, the greatest end before), and ``m``, the greatest end of all.
+
+    The running greatest end is folded chunk by chunk, as appending copies an array.
+    """
+    head = "struct<s:bigint,k:int,m:bigint>"
+    step = "named_struct('m', greatest(a.m, x.e), 'cur', if(x.s >= a.m, array_append(a.cur, named_struct('s', x.s, 'k', x.k, 'm', a.m)), a.cur))"
+    chunk = f"""aggregate(slice(z, i * {CHUNK} + 1, {CHUNK}), named_struct('m', o.m, 'cur', cast(array() as array<{head}>)),
+        (a, x) -> {step}, a -> named_struct('m', a.m, 'all', array_append(o.all, a.cur)))"""
+    folded = f"aggregate(sequence(0, (size(z) - 1) div {CHUNK}), named_struct('m', 0L, 'all', cast(array() as array<array<{head}>>)), (o, i) -> {chunk}, o -> named_struct('z', flatten(o.all), 'm', o.m))"
+    return f"transform(array(array_sort(transform({spans}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e)))), z -> {folded})[0]"
+
+
+def _piece(start: str, end: str | None = None) -> str:
+    """SQL: code points from start to end of ``w``, the text as UTF-32; the letter before it keeps a first U+FEFF from being read as a mark."""
+    chars = f", int(4 * ({end} - {start}))" if end else ""
+    return f"substring(decode(concat(X'00000041', substring(w, int(4 * {start}) + 1{chars})), 'UTF-32'), 2)"
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with every span replaced by its kind, as <EMAIL>; n_chars follows."""
     found = find(docs, ["text", "lang", "source", "n_chars"])
     names = f"array({', '.join(repr(f'<{k.upper()}>') for k in KINDS)})"
-    cutting = f"""concat(array_join(transform(sequence(0, size(z) - 1), i -> concat(
-        substring(text, int(if(i = 0, 0L, z[i - 1].e)) + 1, int(z[i].s - if(i = 0, 0L, z[i - 1].e))), {names}[z[i].k])), ''), substring(text, int(element_at(z, -1).e) + 1))"""
-    text: Column = F.expr(f"if(size(spans) = 0, text, transform(array({_merged('spans')}), z -> {cutting})[0])")
+    cutting = f"concat(array_join(transform(h.z, x -> concat({_piece('x.m', 'x.s')}, {names}[x.k])), ''), {_piece('h.m')})"
+    cut_up = f"transform(array(named_struct('h', {_heads('spans')}, 'w', encode(text, 'UTF-32'))), q -> transform(array(q.h), h -> transform(array(q.w), w -> {cutting})[0])[0])[0]"
+    text: Column = F.expr(f"if(size(spans) = 0, text, {cut_up})")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.expr("if(size(spans) = 0, n_chars, null)").alias("n_chars")).withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast("long")))

@@ -75,3 +75,40 @@ def test_reliabilities_prefer_the_labeler_that_agrees(spark):
     rows = [(0, 1, 1, -1)] * 60 + [(0, 0, 0, -1)] * 60 + [(0, 1, 0, 1)] * 5 + [(0, 0, 1, 0)] * 5
     q = pii.reliabilities(spark.createDataFrame(rows, "k int, r int, g int, c int")).first().q
     assert q.r1 > 0.85 and q.r0 < 0.15
+
+
+def cut_up(text, spans):
+    """The text with its spans as find() lists them replaced, by a loop."""
+    spans = sorted((int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in spans.split(",") if x)
+    out, last = "", 0
+    for start, kind, end in spans:
+        if start >= last:
+            out += text[last:start] + f"<{pii.KINDS[kind].upper()}>"
+        last = max(last, end)
+    return out + text[last:]
+
+
+def test_redaction_equals_a_loop_over_the_spans(spark):
+    texts = [*TEXTS, "\ufeffx@y.de\ufeff\U0001F600 +1 743 555 3824", "+49 4111 1111 1111 1111 x@1.2.3.4", "a@b.c " * 20_000, "Call Anna Berger or Mr 4111-1111-1111-1111"]
+    spans = {r.doc_id: r.spans for r in pii.digests(docs(spark, texts)).collect()}
+    for row in pii.redact(docs(spark, texts)).collect():
+        assert row.text == cut_up(texts[row.doc_id] or "", spans[row.doc_id])
+
+
+def test_the_classifier_finds_names_and_local_phones(spark):
+    texts = ["Mrs Smith and Dr Jekyll met", "see 743-555-3824 today", "Anna Berger wrote", "in Victoria Street", "Maria March 800-123-4567 x", "nobody"] + ["order 12 with nothing"] * 5
+    got = {r.doc_id: r.spans for r in pii.digests(docs(spark, texts)).collect()}
+    assert got[0] == "name:0:9,name:14:23" and got[1] == "local_phone:4:16" and got[2] == "name:0:11"
+    assert got[3] == "" and got[6] == ""
+
+
+def test_labelers_can_disagree_on_every_kind(spark):
+    texts = ["x@y.de a..b@y.z", "10.0.0.1 8.8.8.8 1.2.3.4 08.1.1.1", "4111 1111 1111 1111 4111111111111112 91 1111 1111 1111 1111", "+49 30 1234567 +999 --- 1234567", "743-555-3824 800-155-3824", "Anna Berger Anna XX Mr Monday"]
+    for row in pii.candidates(docs(spark, texts)).selectExpr("explode(spans) x").groupBy("x.k").agg({"x.r": "collect_set"}).toDF("k", "r").collect():
+        assert len(row.r) > 1, row
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "x@y.de", None, None, None)] * 2 + [(1, None, None, None, None)] * 2
+    assert sorted((r.doc_id or -1, r.n_email) for r in pii.digests(spark.createDataFrame(rows, DOCS)).collect()) == [(-1, 1), (-1, 1), (1, 0), (1, 0)]
+    assert sorted(r.text for r in pii.redact(spark.createDataFrame(rows, DOCS)).collect()) == ["", "", "<EMAIL>", "<EMAIL>"]
