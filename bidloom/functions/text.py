@@ -61,19 +61,34 @@ def nominal_diameters(c: Column) -> Column:
     return F.array_distinct(F.concat(direct, F.array_compact(F.array(*inches))))
 
 
-def attribute_match(value: Column, offered: Column) -> Column:
+def _squeezed(c: Column) -> Column:
+    return F.replace(match_normalize(c), F.lit(" "), F.lit(""))
+
+
+def attribute_wanted(value: Column) -> Column:
+    """struct<dn, word>: the diameter that an attribute's value asks for (null if none), and the value without spaces."""
+    return F.struct(F.regexp_extract(F.coalesce(value, F.lit("")), r"(?i)\bdn\s*(\d{1,3})\b", 1).try_cast("int").alias("dn"), _squeezed(value).alias("word"))
+
+
+def attribute_offered(offered: Column) -> Column:
+    """struct<dns, text>: the diameters that a text offers, and the text without spaces."""
+    return F.struct(nominal_diameters(offered).alias("dns"), _squeezed(offered).alias("text"))
+
+
+def attribute_result(wanted: Column, offered: Column) -> Column:
     """MATCH, MISMATCH or UNRESOLVED; only an expected diameter that meets other ones is a mismatch."""
-    expected = F.regexp_extract(F.coalesce(value, F.lit("")), r"(?i)\bdn\s*(\d{1,3})\b", 1)
-    dns = nominal_diameters(offered)
-    squeeze = lambda x: F.replace(match_normalize(x), F.lit(" "), F.lit(""))
     return (
-        F.when((expected != "") & F.array_contains(dns, expected.try_cast("int")), "MATCH")
-        .when((expected != "") & (F.size(dns) > 0), "MISMATCH")
-        .when((expected == "") & (squeeze(value) != "") & F.contains(squeeze(offered), squeeze(value)), "MATCH")
+        F.when(wanted["dn"].isNotNull() & F.array_contains(offered["dns"], wanted["dn"]), "MATCH")
+        .when(wanted["dn"].isNotNull() & (F.size(offered["dns"]) > 0), "MISMATCH")
+        .when(wanted["dn"].isNull() & (wanted["word"] != "") & F.contains(offered["text"], wanted["word"]), "MATCH")
         .otherwise("UNRESOLVED")
     )
 
 
+def attribute_match(value: Column, offered: Column) -> Column:
+    return attribute_result(attribute_wanted(value), attribute_offered(offered))
+
+
 def type_identifier(c: Column) -> Column:
     """What follows 'Typ:' up to a closing keyword; null if nothing does."""
     return F.nullif(F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)\bTyp\s*:\s*(.+?)(?=\s+(?:Komplett|Fabrikat|Art\.?-?Nr\.?)\b|$)", 1)), F.lit(""))
