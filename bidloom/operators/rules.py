@@ -96,19 +96,26 @@ def preflight(df: DataFrame, blocking: list[tuple[str, Column]], warnings: list[
     return df.withColumn("blocking", codes(blocking)).withColumn("warnings", codes(warnings)).withColumn("ready", F.size("blocking") == 0)
 
 
-def reviewed(lines: DataFrame, actions: DataFrame, key: str, field: str) -> DataFrame:
-    """Lines after one action per line on one field: CLEAR empties, others set; the field is locked.
+def reviewed(lines: DataFrame, actions: DataFrame, key: str, field: str, order: list[str] | None = None) -> DataFrame:
+    """Lines after their actions on one field, in order: CLEAR empties, CONFIRM keeps, others set; the field is locked by the first.
 
-    A locked field may only be confirmed; other actions on it give error LOCKED and change nothing.
-    ``actions`` is key, action, new_value.
+    A locked field may only be confirmed; other actions on it give error LOCKED and
+    change nothing.  ``actions`` is key, action, new_value and the order's columns
+    (without an order, as before, one action a line).
     """
-    d = lines.join(actions, key, "left")
-    refused = F.array_contains("locked_fields", field) & (F.col("action") != "CONFIRM")
-    acts = F.col("action").isNotNull() & ~refused
-    value = F.when(acts & (F.col("action") == "CLEAR"), F.lit(None)).when(acts & (F.col("action") != "CONFIRM"), F.col("new_value")).otherwise(F.col(field))
-    status = F.when(acts & (F.col("action") == "CONFIRM"), "HUMAN_CONFIRMED").when(acts, "HUMAN_CORRECTED").otherwise(F.col("verification_status"))
-    locks = F.when(acts, F.array_union("locked_fields", F.array(F.lit(field)))).otherwise(F.col("locked_fields"))
-    return d.withColumns({field: value, "verification_status": status, "locked_fields": locks, "error": F.when(refused, "LOCKED")}).drop("action", "new_value")
+    log = F.array_sort(F.collect_list(F.struct(*(order or []), "action", "new_value")))
+    d = lines.join(actions.groupBy(key).agg(log.alias("_log")), key, "left")
+    start = F.struct(F.col(field).alias("value"), F.col("verification_status").alias("status"), F.array_contains("locked_fields", field).alias("locked"), F.lit(None).cast("string").alias("error"))
+
+    def step(s: Column, a: Column) -> Column:
+        confirm = a["action"] == "CONFIRM"
+        value = F.when(a["action"] == "CLEAR", F.lit(None)).when(confirm, s["value"]).otherwise(a["new_value"])
+        acted = F.struct(value.alias("value"), F.when(confirm, "HUMAN_CONFIRMED").otherwise("HUMAN_CORRECTED").alias("status"), F.lit(True).alias("locked"), s["error"].alias("error"))
+        return F.when(s["locked"] & ~confirm, F.struct(s["value"].alias("value"), s["status"].alias("status"), s["locked"].alias("locked"), F.lit("LOCKED").alias("error"))).otherwise(acted)
+
+    d = d.withColumn("_s", F.when(F.col("_log").isNull(), start).otherwise(F.aggregate("_log", start, step)))
+    locks = F.when(F.col("_s.locked"), F.array_union("locked_fields", F.array(F.lit(field)))).otherwise(F.col("locked_fields"))
+    return d.withColumns({field: F.col("_s.value"), "verification_status": F.col("_s.status"), "locked_fields": locks, "error": F.col("_s.error")}).drop("_log", "_s")
 
 
 def decision_comment_ok(outcome: Column, comment: Column, needing: list[str], chars: int = 40, words: int = 5) -> Column:

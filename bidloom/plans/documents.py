@@ -145,9 +145,15 @@ def duplicate_files(t):
     return t.documents.withColumn("rn", F.row_number().over(W.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))).filter("rn > 1").select("doc_id", "text")
 
 
-@query()
+@query("""
+WITH RECURSIVE i AS (SELECT l_orderkey AS k, l_suppkey % 40 / 40.0::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 40) AS i FROM lineitem),
+f AS (SELECT k, i, 1 AS line, 1 AS n, y AS centre FROM i WHERE i = 1
+  UNION ALL SELECT i.k, i.i, CASE WHEN abs(y - centre) <= 0.03 THEN line ELSE line + 1 END, CASE WHEN abs(y - centre) <= 0.03 THEN n + 1 ELSE 1 END, CASE WHEN abs(y - centre) <= 0.03 THEN centre + (y - centre) / (n + 1) ELSE y END
+  FROM f JOIN i ON i.k = f.k AND i.i = f.i + 1)
+SELECT k AS l_orderkey, max(line) AS n_lines, count(*) AS n_items FROM f GROUP BY 1
+""")
 def visual_lines(t):
-    """Greedy clustering of items by height, per order; no SQL twin, tested against a loop."""
+    """Greedy clustering of items by height, per order."""
     items = t.lineitem.select("l_orderkey", F.xxhash64("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("seq"), (F.col("l_suppkey") % 40 / F.lit(40.0)).alias("y"))
     return sequences.clustered_lines(items, ["l_orderkey"], 0.03).groupBy("l_orderkey").agg(F.max("line").alias("n_lines"), F.count("*").alias("n_items"))
 
