@@ -42,9 +42,8 @@ def zero_filled_histogram(df: DataFrame, key: str, members: DataFrame) -> DataFr
 
 def share_with_examples(df: DataFrame, key: str, example: str, examples: int = 8) -> DataFrame:
     """Counts, percent of all rows to two places, and the smallest examples of each key."""
-    w = W.partitionBy(key).orderBy(example)
-    marked = df.select(key, F.when(F.row_number().over(w) <= examples, F.col(example)).alias("_e"))
-    counted = marked.groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("_e")), ",").alias("examples"))
+    few = top_k(df.select(key, example), key, [F.col(example)], examples).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(example)), ",").alias("examples"))
+    counted = histogram(df, key).join(few, key)
     total = df.agg(F.count("*").alias("_n"))
     return counted.join(F.broadcast(total)).select(key, "n", (F.floor(F.col("n") * 10000 / F.col("_n") + 0.5) / 100).alias("percent"), "examples")  # total is one row
 
@@ -118,10 +117,11 @@ def optimistic_conflicts(df: DataFrame, keys, order: list[Column], expected: str
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """start, node, depth: nodes that edges (src, dst) reach within max_depth steps, at their least depth.
+    """start, node, depth: all nodes that edges (src, dst) reach, at their least depth.
 
     One join per level on the newly found nodes only, so cycles end; levels are
-    checkpointed, and the search ends when a level finds nothing.
+    checkpointed, and the search ends when a level finds nothing.  A graph deeper
+    than max_depth is an error, never a partial result.
     """
     found = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     frontier = found
@@ -129,9 +129,9 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
         step = frontier.join(edges, frontier.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)).select("start", "node", "depth"))
         if frontier.isEmpty():
-            break
+            return found
         found = found.union(frontier)
-    return found
+    raise RuntimeError(f"nodes lie deeper than {max_depth} steps")
 
 
 def fingerprint(df: DataFrame, keys, order: list[str], fields: list[str]) -> DataFrame:

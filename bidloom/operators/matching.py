@@ -47,9 +47,15 @@ def role_priority(role: Column) -> Column:
     return out.otherwise(4)
 
 
-def reference_matches(basis: DataFrame, offers: DataFrame) -> DataFrame:
-    """Positions (prefix, first) within the offers' ranges (prefix, low, high): an equi join on the prefix with a range condition."""
-    return basis.join(offers, "prefix").filter(F.col("first").between(F.col("low"), F.col("high")))
+def reference_matches(basis: DataFrame, offers: DataFrame, bin_size: int = 64) -> DataFrame:
+    """Positions (prefix, first) within the offers' ranges (prefix, low, high).
+
+    An equi join on the prefix and bins of positions: a range goes to each bin it
+    touches, so a prefix is many small groups and only near pairs meet.
+    """
+    at = basis.withColumn("_bin", F.floor(F.col("first") / bin_size))
+    spans = offers.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / bin_size), F.floor(F.col("high") / bin_size))))
+    return at.join(spans, ["prefix", "_bin"]).filter(F.col("first").between(F.col("low"), F.col("high"))).drop("_bin")
 
 
 def match_status(role: Column, direct: Column) -> Column:

@@ -77,9 +77,17 @@ def collapse_adjacent(df: DataFrame, keys: list[str], order: list[Column], value
 
 
 def lone_in_range(df: DataFrame, keys: list[str], at: str, within: float, name: str = "lone") -> DataFrame:
-    """Whether no other row stands within a distance (a range frame over fractions needs SQL)."""
-    frame = f"count(1) OVER (PARTITION BY {', '.join(keys)} ORDER BY {at} RANGE BETWEEN {within}D PRECEDING AND {within}D FOLLOWING)"
-    return df.withColumn(name, F.expr(frame) == 1)
+    """Whether no other row stands within a distance.
+
+    Rows fall into bins as wide as the distance, so those of one bin are near; of
+    the bins around only the extremes matter.  A key is many small groups, and no
+    group is sorted.
+    """
+    bins = df.groupBy(*keys, F.floor(F.col(at) / within).alias("_b")).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    spread = bins.withColumn("_d", F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2))))).withColumn("_b", F.col("_b") + F.col("_d"))
+    around = spread.groupBy(*keys, "_b").agg(F.sum(F.when(F.col("_d") == 0, F.col("_n"))).alias("_own"), F.max(F.when(F.col("_d") > 0, F.col("_hi"))).alias("_left"), F.min(F.when(F.col("_d") < 0, F.col("_lo"))).alias("_right"))
+    near = (F.col("_own") > 1) | F.coalesce(F.col("_left") >= F.col(at) - within, F.lit(False)) | F.coalesce(F.col("_right") <= F.col(at) + within, F.lit(False))
+    return df.withColumn("_b", F.floor(F.col(at) / within)).join(around, [*keys, "_b"]).withColumn(name, ~near).drop("_b", "_own", "_left", "_right")
 
 
 def clustered_lines(items: DataFrame, keys: list[str], tolerance: float) -> DataFrame:

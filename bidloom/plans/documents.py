@@ -34,12 +34,12 @@ def document_type(t):
 
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, len(string_split(text, chr(10))) AS n FROM documents)
-SELECT line, count(DISTINCT doc_id) AS n_docs FROM l WHERE (i <= 6 OR i > n - 4) AND length(line) BETWEEN 10 AND 200 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2
+SELECT line, count(DISTINCT doc_id) AS n_docs FROM l WHERE (i <= 6 OR i > n - 4) AND trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2
 """)
 def repeated_lines(t):
     lines = F.split("text", "\n")
     d = t.documents.select("doc_id", F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line"))
-    edge = d.filter("(i < 6 OR i >= n - 4) AND length(line) BETWEEN 10 AND 200").select("doc_id", "line").distinct()
+    edge = d.filter("(i < 6 OR i >= n - 4) AND trim(line) <> ''").select("doc_id", "line").distinct()
     return edge.groupBy("line").agg(F.count("*").alias("n_docs")).filter("n_docs >= 2")
 
 
@@ -90,11 +90,11 @@ def coverage_arrays(t):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '[a-z]{4,}')) AS w FROM pages)
+WITH w AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(html), '[a-z]{4,}')) AS w FROM pages)
 SELECT w, count(*) AS n_pages, min(page_id) AS first_page FROM w GROUP BY 1
 """)
 def inverted_index_pages(t):
-    words = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
+    words = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
     return words.groupBy("w").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
@@ -140,9 +140,10 @@ def invariant_report(t):
 SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1
 """)
 def duplicate_files(t):
-    from pyspark.sql import Window as W
-
-    return t.documents.withColumn("rn", F.row_number().over(W.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))).filter("rn > 1").select("doc_id", "text")
+    digests = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))  # the texts themselves are joined back by id
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    later = digests.join(first, "digest").filter(F.col("doc_id") != F.col("first")).select("doc_id")
+    return t.documents.select("doc_id", "text").join(later, "doc_id", "left_semi")
 
 
 @query("""

@@ -63,10 +63,10 @@ def candidate_top1(t):
 SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_suppkey % 50 + 1 AND p_partkey BETWEEN s_suppkey * 7 AND s_suppkey * 7 + 400
 """)
 def reference_range_join(t):
-    position = references.parse_reference(references.normalize_reference(F.concat_ws(".", F.lit("01"), "p_size", F.format_string("%06d", "p_partkey"))))
-    offered = references.parse_reference(references.normalize_reference(F.concat(F.lit("1. "), (F.col("s_suppkey") % 50 + 1).cast("string"), F.lit(" ."), (F.col("s_suppkey") * 7).cast("string"), F.lit(" – "), (F.col("s_suppkey") * 7 + 400).cast("string"), F.lit("."))))
-    basis = t.part.withColumn("r", position).select("p_partkey", "r.prefix", "r.first")
-    offers = t.supplier.withColumn("r", offered).select("s_suppkey", "r.prefix", F.col("r.first").alias("low"), F.col("r.last").alias("high"))
+    position = references.normalize_reference(F.concat_ws(".", F.lit("01"), "p_size", F.format_string("%06d", "p_partkey")))
+    offered = references.normalize_reference(F.concat(F.lit("1. "), (F.col("s_suppkey") % 50 + 1).cast("string"), F.lit(" ."), (F.col("s_suppkey") * 7).cast("string"), F.lit(" – "), (F.col("s_suppkey") * 7 + 400).cast("string"), F.lit(".")))
+    basis = t.part.withColumn("n", position).withColumn("r", references.parse_reference(F.col("n"))).select("p_partkey", "r.prefix", "r.first")
+    offers = t.supplier.withColumn("n", offered).withColumn("r", references.parse_reference(F.col("n"))).select("s_suppkey", "r.prefix", F.col("r.first").alias("low"), F.col("r.last").alias("high"))
     return matching.reference_matches(basis, offers).select("p_partkey", "s_suppkey")
 
 
@@ -103,7 +103,7 @@ SELECT n_nationkey, m AS c_mktsegment, count(c_custkey) AS n, coalesce(sum(CAST(
 FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS m FROM customer) LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = m GROUP BY 1, 2
 """)
 def option_grid_dense(t):
-    grid = t.nation.select("n_nationkey").join(F.broadcast(t.customer.select("c_mktsegment").distinct()))  # two enumerations
+    grid = t.nation.select("n_nationkey").join(t.customer.select("c_mktsegment").distinct())  # two enumerations; Catalyst picks the side by size
     sums = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.count("*").alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
     return grid.join(sums, ["n_nationkey", "c_mktsegment"], "left").na.fill(0, ["n"]).na.fill(0.0, ["balance"])
 
@@ -171,25 +171,37 @@ def distinct_price_conflict(t):
 
 
 @query("""
-WITH b AS (SELECT p_partkey AS basis_id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w, p_size FROM part),
-o AS (SELECT s_suppkey AS offer_id, s_suppkey % 10 + 1 AS size FROM supplier)
-SELECT basis_id, offer_id FROM b JOIN o ON p_size = size AND basis_id BETWEEN offer_id * 5 AND offer_id * 5 + 300
+WITH b AS (SELECT p_partkey AS basis_id, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: len(x) > 2)) AS w, 'a' || p_partkey % 97 AS article, p_size FROM part),
+o AS (SELECT s_suppkey AS offer_id, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: len(x) > 2)) AS w, CASE WHEN s_suppkey % 3 = 0 THEN 'a' || s_suppkey % 97 END AS article, s_suppkey % 10 + 1 AS size FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 5 = 0)
+SELECT basis_id, offer_id FROM b JOIN o ON list_has_any(b.w, o.w) OR coalesce(b.article = o.article, false) OR (p_size = size AND basis_id BETWEEN offer_id * 5 AND offer_id * 5 + 300)
 """)
 def candidate_prefilter(t):
-    none = F.array().cast("array<string>")
-    basis = t.part.select(F.col("p_partkey").alias("basis_id"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), F.lit(None).cast("string").alias("article"), F.col("p_size").cast("string").alias("prefix"), F.col("p_partkey").alias("first"))
-    offers = t.supplier.select(F.col("s_suppkey").alias("offer_id"), none.alias("tokens"), F.lit("none").alias("article"), (F.col("s_suppkey") % 10 + 1).cast("string").alias("prefix"), (F.col("s_suppkey") * 5).alias("first"), (F.col("s_suppkey") * 5 + 300).alias("last"))
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    article = lambda c: F.concat(F.lit("a"), (c % 97).cast("string"))
+    basis = t.part.select(k.alias("basis_id"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"), article(k).alias("article"), F.col("p_size").cast("string").alias("prefix"), k.alias("first"))
+    named = t.supplier.filter(s % 5 == 0).join(t.part, s == k)
+    offers = named.select(s.alias("offer_id"), text.tokens(F.col("p_name")).alias("tokens"), F.when(s % 3 == 0, article(s)).alias("article"), (s % 10 + 1).cast("string").alias("prefix"), (s * 5).alias("first"), (s * 5 + 300).alias("last"))
     return matching.candidate_pairs(basis, offers)
 
 
 @query(f"""
-WITH {OPTIONS}
-SELECT position, option, round(least(1, 0.42 * (option % 10) / 10.0::DOUBLE + CASE WHEN n_lines > 1 THEN 0.34 ELSE 0 END + CASE WHEN abs(p_size - quantity) <= greatest(0.001, p_size * 0.01) THEN 0.08 ELSE 0 END
-  + CASE WHEN p_brand LIKE '%1' THEN 0.08 ELSE 0 END), 6) AS score FROM o JOIN part ON p_partkey = position
+WITH {OPTIONS}, j AS (SELECT o.*, b.p_size, b.p_brand, x.p_brand AS maker, list_distinct(list_filter(string_split(lower(b.p_name || ' ' || b.p_type), ' '), lambda x: len(x) > 2)) AS bw, list_distinct(list_filter(string_split(lower(x.p_name || ' ' || x.p_type), ' '), lambda x: len(x) > 2)) AS ow
+  FROM o JOIN part b ON b.p_partkey = position JOIN part x ON x.p_partkey = position - position % 10 + option % 10)
+SELECT position, option, round(least(1, CASE WHEN len(bw) = 0 OR len(ow) = 0 THEN 0 ELSE len(list_intersect(bw, ow)) * 2.0::DOUBLE / (len(bw) + len(ow)) END * 0.42 + CASE WHEN position % 10 = option % 10 AND option % 3 = 0 THEN 0.62 ELSE 0 END + CASE WHEN n_lines > 1 THEN 0.34 ELSE 0 END
+  + CASE WHEN p_size % 3 = option % 3 THEN 0.08 ELSE 0 END + CASE WHEN abs(p_size - quantity) <= greatest(0.001, p_size * 0.01) THEN 0.08 ELSE 0 END + CASE WHEN p_brand = maker THEN 0.08 ELSE 0 END + CASE WHEN p_size % 8 = option % 8 THEN 0.06 ELSE 0 END), 6) AS score FROM j
 """)
 def match_score(t):
-    d = options(t).join(t.part.select(F.col("p_partkey").alias("position"), "p_size", "p_brand"), "position")
-    score = matching.match_score((F.col("option") % 10) / F.lit(10.0), direct=F.col("n_lines") > 1, quantity=numbers.quantity_close(F.col("p_size"), F.col("quantity")), manufacturer=F.col("p_brand").endswith("1"))
+    p, o, z = F.col("position"), F.col("option"), F.col("p_size")
+    words = text.tokens(F.concat_ws(" ", "p_name", "p_type"))
+    d = options(t).join(t.part.select(F.col("p_partkey").alias("position"), "p_size", "p_brand", words.alias("bw")), "position").withColumn("x", p - p % 10 + o % 10)
+    d = d.join(t.part.select(F.col("p_partkey").alias("x"), F.col("p_brand").alias("maker"), words.alias("ow")), "x")
+    unit = lambda c: text.canonical_unit(F.element_at(F.array(F.lit("Stk"), F.lit("m"), F.lit("kg")), (c % 3 + 1).cast("int")))
+    offered = lambda c: text.canonical_unit(F.element_at(F.array(F.lit("Stück"), F.lit("lfm"), F.lit("kg")), (c % 3 + 1).cast("int")))
+    dn = lambda c: F.concat(F.lit("DN "), (c % 8 + 10).cast("string"))
+    score = matching.match_score(
+        text.dice(F.col("bw"), F.col("ow")), article=(p % 10 == o % 10) & (o % 3 == 0), direct=F.col("n_lines") > 1, unit=unit(z) == offered(o), quantity=numbers.quantity_close(z, F.col("quantity")),
+        manufacturer=F.col("p_brand") == F.col("maker"), attribute=text.attribute_match(dn(z), dn(o)) == "MATCH",
+    )
     return d.select("position", "option", F.round(score, 6).alias("score"))
 
 
