@@ -189,3 +189,14 @@ def display_roles(lines: DataFrame, option: str, seq: str) -> DataFrame:
         .otherwise("COMPONENT")
     )
     return lines.withColumn("display_role", shown)
+
+
+def leaves(positions: DataFrame) -> DataFrame:
+    """Positions that are no heading."""
+    return positions.filter(~F.coalesce("heading", F.lit(False)))
+
+
+def before_after(rows: DataFrame, before: Column, metrics: list[tuple[str, Column]]) -> DataFrame:
+    """metric, before, after, change: how many rows of either state each condition holds for; one aggregation."""
+    counts = [F.struct(F.lit(name).alias("metric"), F.count_if(before & holds).alias("before"), F.count_if(~before & holds).alias("after")) for name, holds in metrics]
+    return rows.agg(F.array(*counts).alias("m")).select(F.inline("m")).withColumn("change", F.col("after") - F.col("before"))
