@@ -1,7 +1,7 @@
 """Every named query of the library against its SQL."""
 
 import pytest
-from bidloom.plans import classes, documents, logs, offers, registry, reviews, views  # noqa: F401
+from bidloom.plans import cases, classes, codes, documents, flows, logs, offers, registry, reviews, rulings, tender, views  # noqa: F401
 from compare import connect, same_rows
 
 SF = "/root/testdata/sf0.001"
