@@ -146,7 +146,7 @@ def masked(formatted: DataFrame) -> DataFrame:
     """
     masks = F.array_sort(F.collect_list(F.struct("turn_index", "context_chars", "target_start", "target_chars", F.xxhash64("target").alias("h"))))
     own = examples(formatted).groupBy(F.col("conv_id").alias("own_conv")).agg(masks.alias("masks"))
-    whole = renderings(formatted).withColumn("wide", F.encode("formatted", "UTF-32"))
+    whole = renderings(formatted)
     header = F.lit(f"{START}assistant\n")
 
     def piece(start: Column, chars: Column) -> Column:
@@ -159,7 +159,7 @@ def masked(formatted: DataFrame) -> DataFrame:
         right = (F.xxhash64(text) == m["h"]) & (piece(m["context_chars"], F.length(header)) == header) & (m["target_start"] == m["context_chars"] + F.length(header))
         return F.when(right, text).otherwise(F.raise_error(F.concat(F.lit("mask of turn "), m["turn_index"].cast("string"), F.lit(" is not its target"))).cast("string"))
 
-    joined = whole.join(own, F.col("conv_id").eqNullSafe(F.col("own_conv")), "left")
+    joined = whole.join(own, F.col("conv_id").eqNullSafe(F.col("own_conv")), "left").withColumn("wide", F.encode("formatted", "UTF-32"))
     return joined.select("conv_id", "formatted", F.coalesce(F.transform("masks", applied), F.array().cast("array<string>")).alias("targets"))
 
 
