@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and the plain letters they decompose to; ß stays.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīńňōőřśšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeginnoorsstuuuzzz"
+
+
+def _plain(letter: str) -> str:
+    """A letter's compatibility decomposition without its marks; ß has none."""
+    return "".join(x for x in unicodedata.normalize("NFKD", letter) if not unicodedata.category(x).startswith("M"))
+
+
+# Letters with marks, full-width and raised signs, and the one plain sign each decomposes to; built by that rule.
+_LETTERS = {chr(c): _plain(chr(c)) for block in (range(0xA0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000), range(0x2070, 0x2090), range(0xFF01, 0xFF5F)) for c in block}
+ACCENTED = "".join(a for a, b in _LETTERS.items() if len(b) == 1 and a != b)
+PLAIN = "".join(b for a, b in _LETTERS.items() if len(b) == 1 and a != b)
+# Signs that decompose to several.
+SEVERAL = {x: _plain(x) for x in "ﬀﬁﬂﬃﬄﬆ¼½¾™№"}
 # Unit spellings of one canonical unit each.
 UNITS = {"piece": ["st", "stk", "stck", "stuck", "stueck"], "meter": ["m", "meter", "lfm"], "kilogram": ["kg", "kilogramm"]}
 # Nominal diameter in millimetres of a pipe thread in inches.
@@ -17,7 +29,12 @@ SUBTOTAL_WORDS = ["objektsumme", "zwischensumme", "subtotal", "section total", "
 
 
 def _strip_marks(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Compatibility decomposition without marks."""
+    whole = c
+    for sign, plain in SEVERAL.items():
+        whole = F.replace(whole, F.lit(sign), F.lit(plain.lower()))
+    opened = F.when(c.rlike(f"[{''.join(SEVERAL)}]"), whole).otherwise(c)
+    return F.regexp_replace(F.translate(opened, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def match_normalize(c: Column) -> Column:
@@ -122,6 +139,17 @@ def collapse_repeats(c: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), r"(?iu)\b(\p{L}+)(?:[ \t]+\1\b)+", "$1")
 
 
+def collapse_sentences(c: Column) -> Column:
+    """``collapse_repeats``, and a sentence that repeats the one before it goes."""
+    parts = F.split(collapse_repeats(c), r"(?<=[.!?])\s+")
+    return F.array_join(F.filter(parts, lambda x, i: (i == 0) | (x != F.get(parts, i - 1))), " ")
+
+
+def german_key(c: Column) -> Column:
+    """What German dictionary order compares first: letters without case and marks, ß as ss."""
+    return F.replace(search_normalize(c), F.lit("ß"), F.lit("ss"))
+
+
 def truncate_label(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.regexp_replace(F.substring(c, 1, limit - 1), r"\s+$", ""), F.lit("…"))).otherwise(c)
 

@@ -91,3 +91,40 @@ def merged_or_refused(existing: DataFrame, incoming: DataFrame, keys: list[str],
     conflict = keyed.merge_state(existing, incoming, keys, values).agg(F.count_if(F.col("state") == "CONFLICT").alias("_c"))
     fresh = incoming.join(existing.select(*keys), keys, "left_anti").select(*keys, *values).crossJoin(F.broadcast(conflict)).filter("_c = 0").drop("_c")  # one row
     return existing.select(*keys, *values).unionByName(fresh)
+
+
+def inherited(positions: DataFrame, headings: DataFrame, key: str) -> DataFrame:
+    """key, titles, notes: what a position inherits from all headings whose numbers it refers to (refs, an array), in the headings' order.
+
+    ``headings``: ref, seq, title, note; one number may stand over several headings.
+    """
+    d = positions.select(key, F.explode(F.array_distinct("refs")).alias("ref")).join(headings, "ref")
+    rows = F.array_sort(F.collect_list(F.struct("seq", "title", "note")))  # one position's headings
+    g = d.groupBy(key).agg(rows.alias("_r"))
+    part = lambda f: F.array_compact(F.transform("_r", lambda x: x[f]))
+    return positions.select(key).join(g.select(key, part("title").alias("titles"), part("note").alias("notes")), key, "left")
+
+
+def clustered(documents: DataFrame, identities: DataFrame, group: str) -> DataFrame:
+    """document, identity of documents (group, document, content) by project identities (group, seq, identity, name).
+
+    The first identity whose name holds the document's content or is held by it; else the only one of the group, if it is.
+    """
+    own = documents.withColumn("_c", F.lower(F.trim("content")))
+    d = own.join(identities, group, "left")
+    name = F.lower(F.trim("name"))
+    holds = (F.col("_c") != "") & (name != "") & (F.contains(F.col("_c"), name) | F.contains(name, F.col("_c")))
+    g = d.groupBy("document").agg(F.min_by(F.when(holds, F.col("identity")), F.when(holds, F.col("seq"))).alias("_found"), F.count("identity").alias("_n"), F.min("identity").alias("_only"))
+    return g.select("document", F.coalesce("_found", F.when(F.col("_n") == 1, F.col("_only"))).alias("identity"))
+
+
+def restored(tables: dict[str, DataFrame], derived: list[str]) -> dict[str, DataFrame]:
+    """A backup's tables as a restore takes them: what is derived starts empty and is built anew."""
+    return {name: df.limit(0) if name in derived else df for name, df in tables.items()}
+
+
+def review_sheets(rows: DataFrame, decisions: DataFrame, drafts: DataFrame, problems: DataFrame) -> dict[str, DataFrame]:
+    """The three sheets of a review package; all are empty while the invariant has problems."""
+    blocked = problems.limit(1).agg(F.count("*").alias("_p"))  # one row
+    gate = lambda df: df.crossJoin(F.broadcast(blocked)).filter("_p = 0").drop("_p")
+    return {"review": gate(rows), "history": gate(decisions), "drafts": gate(drafts)}
