@@ -1,7 +1,14 @@
 """Cleaning a document corpus: five stages, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents (doc_id, text, lang, source, n_chars).
+last return the columns of documents (doc_id, text, lang, source, n_chars) and
+drop any other column.
+
+Defined results, in every stage: every row is a document of its own, also where
+rows repeat an id or have none; null texts count as empty and stay (of other
+columns nulls pass through); texts of any length are read whole; empty tables
+stay empty.  Without labels of both classes nothing is toxic, without items
+nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -14,22 +21,22 @@ from bidloom.llm.shared import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go; labels are those of their ids."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the row of the smallest id stays (null ids last; of equal rows one); texts without a word all stay."""
     return ngram_join.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, whatever their id."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become placeholders."""
+    """Personal data become placeholders; n_chars follows where the text changes."""
     return pii.redact(docs)
 
 
