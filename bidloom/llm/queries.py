@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import chat_format, decontaminate, embedding_lsh, html_text, lm_score, ngram_join, pii, suffix_dedup, toxicity
+from bidloom.llm import chat_format, decontaminate, embedding_lsh, fill_in_middle, html_text, lm_score, ngram_join, pii, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
@@ -69,5 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_lm_score": op10_lm_score,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE_SQL,
+    "op3_html_text": html_text.ORACLE_SQL,
+    "op6_embedding_lsh": embedding_lsh.ORACLE_SQL,
+    "op10_lm_score": lm_score.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op3_html_text": html_text.ORACLE_SQL, "op6_embedding_lsh": embedding_lsh.ORACLE_SQL, "op10_lm_score": lm_score.ORACLE_SQL}
