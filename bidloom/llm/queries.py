@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import chat_format, decontaminate, embedding_lsh, fill_in_middle, hard_negatives, html_text, lm_score, ngram_join, pii, suffix_dedup, toxicity
+from bidloom.llm import chat_format, decontaminate, embedding_lsh, fill_in_middle, hard_negatives, html_text, lm_score, ngram_join, pii, quality_rules, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 100 = 0")
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_lm_score": op10_lm_score,
+    "op11_quality_rules": op11_quality_rules,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -87,6 +92,7 @@ ORACLES: dict[str, str] = {
     "op3_html_text": html_text.ORACLE_SQL,
     "op6_embedding_lsh": embedding_lsh.ORACLE_SQL,
     "op10_lm_score": lm_score.ORACLE_SQL,
+    "op11_quality_rules": quality_rules.ORACLE_SQL,
     "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
