@@ -73,7 +73,7 @@ def test_thresholds_follow_the_source(spark):
     rows += [(2000, marked, "en", "news", 0), (2001, plain, "en", "tiny", 0), (2002, marked.replace("#", "#####"), "en", "code", 0), (2003, marked, None, None, 0)]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
     assert all(got[i].kept for i in range(150)) and all(got[1000 + i].kept for i in range(150))
-    assert got[2000].failed == "symbols" and got[2002].failed == "symbols" and not got[2000].kept
+    assert "symbols" in got[2000].failed and "symbols" in got[2002].failed and not got[2000].kept
     assert got[2001].kept and got[2001].level == "language" and got[2003].level == "corpus" and got[0].level == "source"
 
 
