@@ -34,6 +34,21 @@ def parse_reference(normalized: Column) -> Column:
     return F.when(normalized.isNotNull(), F.struct(prefix.alias("prefix"), F.least(a, b).alias("first"), F.greatest(a, b).alias("last")))
 
 
+def basis_reference(c: Column) -> Column:
+    """The first three-level reference in a line of text: a range (1.2.10-30, 1.2.10 bis 1.2.30) before a single one; null where there is none."""
+    number, between = "([0-9]+)", r"\s*[.\s]\s*"
+    triple = between.join([number] * 3)
+    span = rf"(?i){triple}\s*(?:-|bis)\s*(?:{number}{between}{number}{between})?{number}"
+    single = rf"(?:^|[(:\s]){triple}(?:\.|\s|$)"
+
+    def levels(pattern: str, *groups: int) -> Column:
+        return F.array_join(F.array(*(F.regexp_extract(c, pattern, k).try_cast("bigint").cast("string") for k in groups)), ".")
+
+    of_other_parent = F.regexp_extract(c, span, 4) != ""
+    end = F.when(of_other_parent, levels(span, 4, 5, 6)).otherwise(levels(span, 1, 2, 6))
+    return F.when(c.rlike(span), F.concat(levels(span, 1, 2, 3), F.lit("-"), end)).when(c.rlike(single), levels(single, 1, 2, 3))
+
+
 def effective_references(source: Column, supplier: Column) -> Column:
     """The source reference alone where it is one; else the supplier's where that is one."""
     s, o = normalize_reference(source), normalize_reference(supplier)

@@ -1,9 +1,15 @@
 """Priced records from the text lines of supplier documents, as windows over lines.
 
-A layout is a set of line patterns.  A line is an anchor, a row, a no-offer, a
-marker, a net price, a stop or text; running counts make anchors into blocks and
-rows into items, sticky markers are running maxima, and an item's text is its
-lines in order.  Nothing is read line by line in Python.
+Each layout tells lines apart by patterns.  Lines that open a segment (an anchor, a
+row, a no-offer, a marker, a total) are counted along the document, so a segment
+runs over lines and pages up to the next one; anchors are counted the same way into
+blocks.  One line of a segment holds the item, the others its text.  Modes that
+stay on within a block (optional, alternative) are running maxima, and references
+that a layout states once are carried forward.  Nothing is read line by line.
+
+Defined results: a document without any signature has no records and one row in
+``unsupported``; of several signatures the first of LAYOUTS holds; an anchor without
+its row gives no record; null content is an empty line.
 """
 
 from __future__ import annotations
@@ -15,55 +21,80 @@ from pyspark.sql import functions as F
 from bidloom.functions import numbers, references
 
 _MONEY = r"([0-9.,]+)"
-# The formats of four suppliers' documents.  row: position, article, description, quantity, unit, unit price, total ('' where absent).
+_UNIT, _PM_UNIT = "(ST|M|KG|L)", r"(St(?:ück|ueck)?|Stk\.?|m|kg|L)"
+_RE_NUMBER = r"^(?:[0-9]+\.){2}[0-9]+(?:-[0-9]+)?\.?$"
+# The formats of four suppliers' documents.  signature: patterns that all stand in the document.  item: the line of a segment's
+# values, which fields name by group.  The other patterns open segments (anchor, break, no_offer, marker, optional, stop) or are left out of texts (noise).
 LAYOUTS: dict[str, dict] = {
     "GC_LVNR": {
-        "signature": r"(?i)\bPOS\s+[0-9]+\s+LVNR\b",
-        "anchor": r"(?i)^POS\s+([0-9]+)\s+LVNR\s+([0-9]+\s+[0-9]+\s+[0-9]+)\b.*$",
-        "row": rf"(?i)^(\S+)\s+(.+?)\s+{_MONEY}\s+(ST|M|KG|L)\s+{_MONEY}\s+{_MONEY}$",
+        "signature": [r"(?i)\bPOS\s+[0-9]+\s+LVNR\b"],
+        "anchor": r"(?i)^POS\s+([0-9]+)\s+LVNR\s+([0-9]+\s+[0-9]+\s+[0-9]+)\b(.*)$",
+        "break": r"(?i)^POS\s+[0-9]+\s+LVNR\b|^[0-9]+\s+[0-9]+\s+[0-9]+(?:-[0-9]+)?\s+(?:Bauseits|siehe vorige Pos)",
+        "item": rf"(?i)^(\S+)\s+(.+?)\s+{_MONEY}\s+{_UNIT}\s+{_MONEY}\s+{_MONEY}$",
         "fields": {"article": 1, "description": 2, "quantity": 3, "unit": 4, "unit_price": 5, "total_price": 6},
         "no_offer": r"(?i)^([0-9]+\s+[0-9]+\s+[0-9]+(?:-[0-9]+)?)\s+(Bauseits|siehe vorige Pos)$",
         "stop": r"(?i)^(?:Objektsumme|Zwischensumme|Endbetrag)\b",
     },
     "P_AND_M": {
-        "signature": r"(?i)\bAngebotsposition\b",
-        "anchor": r"(?i)()\bAngebotsposition\b\D*([0-9]+(?:[. ]+[0-9]+)+).*$",
-        "row": rf"(?i)^([0-9]+)\s+(\S+)\s+{_MONEY}\s+(St(?:ück|ueck)?|Stk\.?|m|kg|L)\s+{_MONEY}\s+{_MONEY}$",
+        "signature": [r"(?i)\bAngebotsposition\b"],
+        "anchor": r"(?i)\bAngebotsposition\b",
+        "break": r"(?i)^[0-9]+\s+\S+\s+[0-9.,]+\s+(?:St|Stück|Stueck|Stk|m|kg|L)\b",
+        "item": rf"(?i)^([0-9]+)\s+(\S+)\s+{_MONEY}\s+{_PM_UNIT}\s+{_MONEY}\s+{_MONEY}$",
         "fields": {"position": 1, "article": 2, "quantity": 3, "unit": 4, "unit_price": 5, "total_price": 6},
         "refused": r"(?i)\bnicht anbieten\b",
         "optional": r"(?i)optional bieten wir",
     },
     "SPECIALIZED_LV_POS": {
-        "signature": r"(?i)\bzu\s+LV-Pos\.\s*:",
-        "anchor": r"(?i)^([0-9]*)\b.*\bzu\s+LV-Pos\.\s*:\s*([0-9]+(?:[. ]+[0-9]+)+).*$",
-        "row": rf"(?i)^([0-9]{{8,}})\s+{_MONEY}\s+(ST|M|KG|L)\s+{_MONEY}\s+{_MONEY}$",
+        "signature": [r"(?i)\bzu\s+LV-Pos\.\s*:"],
+        "anchor": r"(?i)\bzu\s+LV-Pos\.\s*:",
+        "item": rf"(?i)^([0-9]{{8,}})\s+{_MONEY}\s+{_UNIT}\s+{_MONEY}\s+{_MONEY}$",
         "fields": {"article": 1, "quantity": 2, "unit": 3, "unit_price": 4, "total_price": 5},
         "net": rf"(?i)^Positionsnetto\s+{_MONEY}\s+{_MONEY}$",
-        "noise": r"(?i)^(?:Kundenrabatt|Positionsnetto|Anschrift:|E-Mail:|Internet:)",
+        "noise": r"(?i)^(?:Kundenrabatt|Positionsnetto|Anschrift:|Schelmenwasenstraße|E-Mail:|Internet:)",
     },
     "REISSER_LV_POS": {
-        "signature": r"(?i)Materialnr\.|LV\.Pos\.",
-        "row": rf"(?i)^([0-9.]+)\s+\S+\s+([0-9]{{7,}})\s+(.+?)\s+{_MONEY}\s+(ST|M|KG|L)\s+{_MONEY}\s+{_MONEY}$",
+        "signature": [r"(?i)Materialnr\.", r"(?i)LV\.Pos\."],
+        "item": rf"(?i)^([0-9.]+)\s+\S+\s+([0-9]{{7,}})\s+(.+?)\s+{_MONEY}\s+{_UNIT}\s+{_MONEY}\s+{_MONEY}$",
         "fields": {"position": 1, "article": 2, "description": 3, "quantity": 4, "unit": 5, "unit_price": 6, "total_price": 7},
+        "marker": r"(?i)^([0-9.]+)\s+Wahlweise bieten wir an:?$",
+        "choice": rf"(?i)^\S+\s+([0-9]{{7,}})\s+(.+?)\s+{_MONEY}\s+{_UNIT}\s+{_MONEY}$",
+        "choice_fields": {"article": 1, "description": 2, "quantity": 3, "unit": 4, "unit_price": 5},
         "no_offer": r"(?i)^([0-9.]+)\s+\*{2}\s+(bauseits)$",
-        "reference": r"^((?:[0-9]+\.){2}[0-9]+(?:-[0-9]+)?)\.?$",
         "stop": r"(?i)^(?:Summe Positionen|Mehrwertsteuer|Endbetrag)\b",
-        "noise": r"(?i)^(?:Alte Materialnr|Stat\. WarenNr|PME:)|^(?:[0-9]+\.){2}[0-9]+(?:-[0-9]+)?\.?$",
+        "noise": rf"(?i){_RE_NUMBER}|^(?:Alte Materialnr|Stat\. WarenNr|PME:)",
     },
 }
-ALTERNATIVE = r"(?i)\balternativ\b"
+ALTERNATIVE, PER_HUNDRED = r"(?i)\balternativ\b", r"(?i)\bper\s+100\b"
+REFUSAL_TEXT = "Diese Ausschreibungsposition können wir Ihnen nicht anbieten."
+UNSUPPORTED_TEXT = "No supported deterministic supplier layout signature found."
 FIELDS = ["position", "article", "description", "quantity", "unit", "unit_price", "total_price"]
+FOOTER = 0.9  # lines from here down the page are no part of a text
+GC, PM, SP, RE = LAYOUTS
+
+
+def _cleaned(lines: DataFrame) -> DataFrame:
+    text = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"[\s\x{00A0}]+", " "))
+    return lines.select("document_id", "seq", "page", "y", text.alias("content"))
 
 
 def layouts(lines: DataFrame) -> DataFrame:
-    """document_id, layout: the first layout whose signature stands in the document, else UNSUPPORTED."""
-    found = lines.groupBy("document_id").agg(*(F.bool_or(F.col("content").rlike(spec["signature"])).alias(name) for name, spec in LAYOUTS.items()))
+    """document_id, layout: the first layout all of whose signatures stand in the document, else UNSUPPORTED."""
+    signs = {(name, k): F.bool_or(F.coalesce(F.col("content").rlike(p), F.lit(False))) for name, spec in LAYOUTS.items() for k, p in enumerate(spec["signature"])}
+    found = lines.groupBy("document_id").agg(*(c.alias(f"{name}{k}") for (name, k), c in signs.items()))
     out = F
-    for name in LAYOUTS:
-        out = out.when(F.col(name), name)
+    for name, spec in LAYOUTS.items():
+        holds = F.lit(True)
+        for k in range(len(spec["signature"])):
+            holds = holds & F.col(f"{name}{k}")
+        out = out.when(holds, name)
     return found.select("document_id", out.otherwise("UNSUPPORTED").alias("layout"))
 
 
+def unsupported(lines: DataFrame) -> DataFrame:
+    """document_id, error: the documents of no known layout."""
+    return layouts(_cleaned(lines)).filter("layout = 'UNSUPPORTED'").select("document_id", F.lit(UNSUPPORTED_TEXT).alias("error"))
+
+
 def _by_layout(what: str, make) -> Column:
     out = F
     for name, spec in LAYOUTS.items():
@@ -80,63 +111,107 @@ def _group(what: str, n: int) -> Column:
     return F.nullif(_by_layout(what, lambda p, _: F.regexp_extract("content", p, n)), F.lit(""))
 
 
+def _fields(what: str, fields: str) -> Column:
+    """The item's values as strings, by the groups that a layout names."""
+    value = lambda f: F.nullif(_by_layout(fields, lambda at, spec: F.regexp_extract("content", spec[what], at[f]) if f in at else F.lit("")), F.lit(""))
+    return F.struct(*(value(f).alias(f) for f in FIELDS))
+
+
+def _segmented(lines: DataFrame) -> DataFrame:
+    """Lines with their kind, segment and block: kind opens a segment; ``at`` is the line's place in it and ``head`` what opened it."""
+    d = lines.join(layouts(lines).filter("layout <> 'UNSUPPORTED'"), "document_id")
+    d = d.withColumn("own_reference", references.basis_reference(F.col("content")))
+    named = F.col("own_reference").isNotNull()
+    layout = F.col("layout")
+    kind = (
+        F.when(_is("anchor") & ((layout == GC) | named), "anchor")
+        .when(_is("optional"), "optional")
+        .when(_is("item") & layout.isin(PM, RE), "row")
+        .when(_is("no_offer"), "no_offer")
+        .when(_is("marker"), "marker")
+        .when(_is("stop"), "stop")
+        .when(_is("break"), "break")
+    )
+    doc = W.partitionBy("document_id").orderBy("seq")
+    upto = doc.rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("kind", kind)
+    d = d.withColumns({"segment": F.count("kind").over(upto), "anchors": F.count(F.when(F.col("kind") == "anchor", 1)).over(upto)})
+    segment = W.partitionBy("document_id", "segment").orderBy("seq")
+    d = d.withColumns({"at": F.row_number().over(segment), "head": F.first("kind").over(segment)})
+    return d.withColumn("block", F.when(layout == PM, F.col("anchors")).otherwise(F.col("segment"))).filter("head is not null")
+
+
+def _modes(d: DataFrame) -> DataFrame:
+    """The modes of a block: optional after its marker; alternative after the word, but not where it stands in an item's text."""
+    block = W.partitionBy("document_id", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    told = F.when(F.col("layout") == GC, F.coalesce(_group("anchor", 3).rlike(ALTERNATIVE), F.lit(False)) & (F.col("head") == "anchor"))
+    told = told.otherwise(F.col("content").rlike(ALTERNATIVE) & (F.col("layout") == PM) & (F.col("kind").isNull() | (F.col("kind") != "optional")) & ~((F.col("head") == "row") & (F.col("at") > 1)))
+    return d.withColumns({"is_optional": F.max(F.coalesce(F.col("kind") == "optional", F.lit(False))).over(block), "is_alternative": F.max(told).over(block)})
+
+
 def supplier_records(lines: DataFrame) -> DataFrame:
     """Records of lines (document_id, seq, page, y, content).
 
     document_id, layout, reference, position, article, description, quantity,
-    unit, unit_price, total_price, price_basis, role, page, continuation.
+    unit, unit_price, total_price, price_basis, role, page, continuation, n_lines.
     """
-    d = lines.select("document_id", "seq", "page", "y", F.trim(F.regexp_replace("content", r"\s+", " ")).alias("content")).join(layouts(lines), "document_id").filter("layout <> 'UNSUPPORTED'")
-    d = d.withColumns({k: _is(k) for k in ("anchor", "row", "no_offer", "refused", "optional", "net", "stop", "noise", "reference")}).withColumn("alternative", F.col("content").rlike(ALTERNATIVE))
-    own_start = F.col("layout") == "REISSER_LV_POS"
-    starts = F.col("anchor") | F.col("no_offer") | (own_start & F.col("row"))
-    d = d.withColumn("item_start", (F.col("row") & ~F.col("anchor")) | F.col("no_offer"))
-    doc = W.partitionBy("document_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("block", F.sum(F.when(starts, 1).otherwise(0)).over(doc))
-    block = W.partitionBy("document_id", "block")
-    run = block.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    raw = F.coalesce(F.when(F.col("anchor"), _group("anchor", 2)), F.when(F.col("reference"), _group("reference", 1)), F.when(F.col("no_offer") & ~own_start, _group("no_offer", 1)))
-    d = d.withColumn("_ref", references.normalize_reference(raw))
-    d = d.withColumn("_ref", F.first("_ref", ignorenulls=True).over(block.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    d = d.withColumn("reference_no", F.last("_ref", ignorenulls=True).over(doc))
-    d = d.withColumns(
-        {
-            "item": F.sum(F.when(F.col("item_start"), 1).otherwise(0)).over(run),
-            "is_optional": F.max(F.col("optional")).over(run),
-            "is_alternative": F.max(F.col("alternative")).over(run),
-            "is_refused": F.max(F.col("refused")).over(block),
-            "anchor_position": F.max(F.when(F.col("anchor"), _group("anchor", 1))).over(block),
-            "anchor_page": F.min("page").over(block),
-        }
-    )
-    d = d.withColumn("stopped", F.max(F.col("stop")).over(W.partitionBy("document_id", "block", "item").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
-    plain = ~F.col("item_start") & ~F.col("anchor") & ~F.col("noise") & ~F.col("optional") & ~F.col("net") & ~F.col("stopped") & (F.col("y") < 0.9)
-    field = {f: F.nullif(_by_layout("fields", lambda at, spec, f=f: F.regexp_extract("content", spec["row"], at[f]) if f in at else F.lit("")), F.lit("")) for f in FIELDS}
-    head = F.struct("seq", "page", "row", "no_offer", "is_optional", "is_alternative", F.when(F.col("no_offer"), _group("no_offer", 2)).alias("refusal"), *(c.alias(f) for f, c in field.items()))
-    rows = d.filter("item >= 1 AND NOT is_refused").groupBy("document_id", "layout", "block", "item").agg(
-        F.min_by(head, F.struct(~F.col("item_start"), F.col("seq"))).alias("h"),
-        F.array_sort(F.collect_list(F.when(plain, F.struct("seq", "content")))).alias("texts"),
-        F.min_by(F.when(F.col("net"), F.struct(_group("net", 1).alias("u"), _group("net", 2).alias("t"))), F.when(F.col("net"), F.col("seq"))).alias("net"),
-        F.first("reference_no").alias("reference"),
-        F.first("anchor_position").alias("anchor_position"),
-        F.min("anchor_page").alias("anchor_page"),
+    d = _modes(_segmented(_cleaned(lines)))
+    layout, head, at = F.col("layout"), F.col("head"), F.col("at")
+    fits = (
+        F.when(layout == GC, (head == "anchor") & (at == 2) & _is("item"))
+        .when(layout == PM, (head == "row") & (at == 1) & (F.col("anchors") > 0))
+        .when(layout == SP, (head == "anchor") & (at > 1) & _is("item"))
+        .otherwise(((head == "row") & (at == 1)) | ((head == "marker") & (at > 1) & _is("choice")))
     )
-    following = F.array_join(F.transform("texts", lambda t: t["content"]), " ")
-    whole = F.trim(F.concat_ws(" ", F.col("h.description"), following))
-    no_offer = F.when(F.lower("h.refusal") == "bauseits", "PROVIDED_BY_OTHERS").otherwise("NOT_OFFERED")
-    rows = rows.select(
-        "document_id", "layout", "block", "item", "reference",
-        F.coalesce("h.position", "anchor_position", F.when(F.col("h.no_offer"), None)).alias("position"), F.col("h.article").alias("article"),
-        F.when(F.col("h.no_offer"), F.col("h.refusal")).when(whole == "", F.col("h.article")).otherwise(whole).alias("description"),
-        numbers.quantity_number(F.col("h.quantity")).alias("quantity"),
-        F.when(F.col("h.unit").rlike("(?i)^st"), "St").otherwise(F.col("h.unit")).alias("unit"),
-        numbers.german_number(F.coalesce("net.u", "h.unit_price")).alias("unit_price"), numbers.german_number(F.coalesce("net.t", "h.total_price")).alias("total_price"),
-        F.when(whole.rlike(r"(?i)\bper\s+100\b"), 100).otherwise(1).alias("price_basis"),
-        F.when(F.col("h.no_offer"), no_offer).when(F.col("h.is_optional"), "OPTIONAL").when(F.col("h.is_alternative"), "ALTERNATIVE").alias("role"),
-        F.col("h.page").alias("page"), (F.col("h.page") != F.col("anchor_page")).alias("continuation"),
+    segment, block = W.partitionBy("document_id", "segment"), W.partitionBy("document_id", "block")
+    d = d.withColumn("item_seq", F.min(F.when(fits, F.col("seq"))).over(segment))
+    d = d.withColumns({"is_item": F.coalesce(F.col("seq") == F.col("item_seq"), F.lit(False)), "is_refused": F.max(_is("refused") & (F.col("anchors") > 0)).over(block)})
+    # The reference: an anchor's own; a no-offer's own numbers; else the first one stated since the document's begin, segment by segment.
+    explicit = F.first("own_reference", ignorenulls=True).over(segment.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    d = d.withColumn("stated", F.when((layout == RE) & (head != "stop"), explicit))
+    carried = F.last("stated", ignorenulls=True).over(W.partitionBy("document_id").orderBy("segment").rangeBetween(W.unboundedPreceding, 0))
+    own = F.when(layout == GC, references.normalize_reference(F.coalesce(F.when(F.col("kind") == "anchor", _group("anchor", 2)), F.when(F.col("kind") == "no_offer", _group("no_offer", 1)))))
+    own = own.when(F.col("kind") == "anchor", F.col("own_reference"))
+    d = d.withColumns({"carried": carried, "anchored": F.max(own).over(block), "anchor_page": F.max(F.when(F.col("kind") == "anchor", F.col("page"))).over(block)})
+    text = (F.col("y") < FOOTER) | (layout == RE)
+    text = text & F.when(layout == GC, at > 2).when(layout == SP, F.col("seq") > F.col("item_seq")).otherwise(at > 1) & ~F.col("is_item") & ~_is("noise")
+    values = F.when(head == "marker", _fields("choice", "choice_fields")).otherwise(_fields("item", "fields"))
+    net = F.struct(_group("net", 1).alias("unit"), _group("net", 2).alias("total"))
+    first = lambda c: F.first(c, ignorenulls=True)
+    place = F.when(head == "anchor", F.when(layout == GC, _group("anchor", 1)).when(layout == SP, F.nullif(F.regexp_extract("content", r"^([0-9]+)\b", 1), F.lit(""))))
+    place = place.when(head == "marker", _group("marker", 1)).when((head == "no_offer") & (layout == RE), _group("no_offer", 1))
+    rows = d.filter("not is_refused").groupBy("document_id", "layout", "segment", "block", "head").agg(
+        F.max(F.when(F.col("is_item"), values)).alias("v"),
+        F.array_sort(F.collect_list(F.when(text, F.struct("seq", "content")))).alias("texts"),
+        F.min_by(F.when(_is("net"), net), F.when(_is("net"), F.col("seq"))).alias("net"),
+        first(F.coalesce(F.col("anchored"), F.when(layout == RE, F.col("carried")))).alias("reference"),
+        first(F.when(at == 1, place)).alias("place"),
+        first(F.when(at == 1, _group("no_offer", 2))).alias("refusal"),
+        first(F.when(at == 1, F.col("page"))).alias("page"),
+        first("anchor_page").alias("anchor_page"),
+        F.bool_or(F.col("page") != F.col("anchor_page")).alias("other_page"),
+        first(F.when(at == 1, F.col("is_optional"))).alias("is_optional"),
+        first(F.when(at == 1, F.col("is_alternative"))).alias("is_alternative"),
+        F.count("*").alias("n_lines"),
+    ).filter("v is not null or head = 'no_offer'")
+    whole = F.trim(F.concat_ws(" ", F.col("v.description"), F.array_join(F.transform("texts", lambda t: t["content"]), " ")))
+    none = F.col("head") == "no_offer"
+    role = F.when(none, F.when(F.lower("refusal") == "bauseits", "PROVIDED_BY_OTHERS").otherwise("NOT_OFFERED")).when(F.col("is_optional"), "OPTIONAL").when(F.col("is_alternative") | (F.col("head") == "marker"), "ALTERNATIVE")
+    records = rows.select(
+        "document_id", "layout", "segment", "block", "reference",
+        F.coalesce("v.position", "place").alias("position"), F.col("v.article").alias("article"),
+        F.when(none, F.col("refusal")).when(whole == "", F.col("v.article")).otherwise(whole).alias("description"),
+        numbers.quantity_number(F.col("v.quantity")).alias("quantity"),
+        F.when(F.col("v.unit").rlike("(?i)^st"), "St").otherwise(F.col("v.unit")).alias("unit"),
+        numbers.german_number(F.coalesce("net.unit", "v.unit_price")).alias("unit_price"), numbers.german_number(F.coalesce("net.total", "v.total_price")).alias("total_price"),
+        F.when((layout == GC) & whole.rlike(PER_HUNDRED), 100).otherwise(1).alias("price_basis"), role.alias("role"), "page",
+        F.coalesce(F.when(layout == PM, F.col("page") != F.col("anchor_page")).when(layout == SP, F.col("other_page")), F.lit(False)).alias("continuation"), "n_lines",
     )
-    refused = d.filter("is_refused AND anchor").select("document_id", "layout", "block", F.lit(0).cast("bigint").alias("item"), F.col("reference_no").alias("reference"), *(F.lit(None).cast(t).alias(c) for c, t in (("position", "string"), ("article", "string"))), F.lit("refused").alias("description"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("unit_price"), F.lit(None).cast("double").alias("total_price"), F.lit(1).alias("price_basis"), F.lit("NOT_OFFERED").alias("role"), "page", F.lit(False).alias("continuation"))
-    out = rows.unionByName(refused)
-    own = F.when(F.col("layout") == "P_AND_M", F.col("block").cast("string")).otherwise(F.coalesce("reference", F.concat(F.lit("#"), "block", F.lit("-"), "item")))
-    nth = F.row_number().over(W.partitionBy("document_id", own, F.col("role").isNull()).orderBy("block", "item"))
-    return out.withColumn("role", F.coalesce("role", F.when(nth == 1, "PRIMARY").otherwise("MANDATORY_COMPONENT"))).drop("block", "item")
+    refused = d.filter("is_refused").groupBy("document_id", "layout", "block").agg(first("anchored").alias("reference"), F.max("anchor_page").alias("page"), F.count("*").alias("n_lines"))
+    refused = refused.withColumns({"segment": F.col("block"), "description": F.lit(REFUSAL_TEXT), "price_basis": F.lit(1), "role": F.lit("NOT_OFFERED"), "continuation": F.lit(False)})
+    out = records.unionByName(refused, allowMissingColumns=True)
+    # The first undecided record of a reference is primary, the others are its components; within a block where the layout has blocks.
+    alone = F.concat(F.lit("#"), F.col("segment").cast("string"))
+    scope = F.when(layout == PM, F.col("block").cast("string")).otherwise(F.coalesce("reference", alone))
+    nth = F.row_number().over(W.partitionBy("document_id", scope, F.col("role").isNull()).orderBy("segment"))
+    return out.withColumn("role", F.coalesce("role", F.when(nth == 1, "PRIMARY").otherwise("MANDATORY_COMPONENT"))).drop("segment", "block")
