@@ -53,6 +53,8 @@ WINDOW = 6
 MEMO_WORDS = 300_000
 #: With more alphabets among the terms than these, trying each costs more than the walk it saves.
 MANY = 64
+#: Terms of more letters than these are found by their thirds alone; they have too many forms with letters left out.
+LONG = 24
 #: Near copies among the training texts: bands of four least hashes of neighbour triples, and the share of bands met.
 BANDS, BAND_ROWS, COPY_SHARE = 16, 4, 0.25
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 FOLD = str.maketrans("0134578@$!", "oieastbasi")
 QUOTING = frozenset("quote quoted quotes said says wrote word words term called calling slur mean means never not sagte wort nannte nicht dit mot appelé jamais dijo palabra llamó nunca".split())
 ADDRESS = frozenset("you your you're u ur yourself du dich dein ihr tu toi vous ton tú usted eres are so such total complete stupid damn bloody".split())
-_WORD = re.compile(r"[^\W\d_](?:[\w@$!]*[^\W_])?|[\w@$]*[^\W\d_][\w@$]*[^\W_]")
+#: A word is group 1.  What else matches are runs without a word, taken whole so that none is read again from each of its signs.
+_WORD = re.compile(r"([^\W\d_](?:[\w@$!]*[^\W_])?|[\w@$]*[^\W\d_][\w@$]*[^\W_])|[\d_@$]+")
 _QUOTES = frozenset("\"“”«»„‘’'`")
 #: A misspelt hit counts this much of a hit.
 FUZZY = 0.75
@@ -70,7 +73,11 @@ PRIOR = (2.0, -1.0, 0.3, -1.5)
 
 
 def words(text: str) -> list[re.Match]:
-    return list(_WORD.finditer(text))
+    return [m for m in _WORD.finditer(text) if m[1]]
+
+
+def tokens_of(text: str) -> list[str]:
+    return [w for w in _WORD.findall(text) if w]
 
 
 def letters(word: str) -> int:
@@ -81,16 +88,16 @@ def letters(word: str) -> int:
     return out
 
 
-def thirds(term: str) -> set[str]:
-    """The thirds of a term, also with the letters at their borders swapped: two edits leave one of these whole."""
+def thirds(term: str) -> set[tuple[int, str]]:
+    """(place, text) of the thirds of a term, also with the letters at their borders swapped: two edits leave one of these whole, moved by two places at most."""
     a, b = len(term) // 3, 2 * len(term) // 3
-    out: set[str] = set()
+    out: set[tuple[int, str]] = set()
     for swaps in ((), (a,), (b,), (a, b)):
         w = list(term)
         for i in swaps:
             w[i - 1], w[i] = w[i], w[i - 1]
         w = "".join(w)
-        out |= {w[:a], w[a:b], w[b:]}
+        out |= {(0, w[:a]), (a, w[a:b]), (b, w[b:])}
     return out
 
 
@@ -117,6 +124,10 @@ class Trie:
                 node = node.setdefault(letter, {})
             node["*" if kind == "stem" else ""] = term
 
+    def __reduce__(self):
+        """Sent as its terms: nested nodes would be pickled as deep as the longest term."""
+        return Trie, (self.terms,)
+
     def exact(self, word: str) -> str | None:
         """'exact', 'stem' or None: the longest walk of the word itself."""
         node, stem = self.root, None
@@ -131,29 +142,25 @@ class Trie:
     def near(self, word: str) -> set[str]:
         """The whole terms within their edits of ``word``: one for five letters or more, two from nine; a swap of neighbours is one.
 
-        The word's Levenshtein automaton advances with each letter of the trie,
-        from its root.  Bit i of its k-th state tells that i letters of the word
-        are read with at most k edits; a branch is left when no state is alive.
-        A swap reads two letters at once: it goes on from the state before the
-        last letter of the trie.  Words
-        that share no form with letters left out with any term are never walked:
-        a term within k edits has one in common, each with k left out at most;
-        nor are words that lack, or have besides, more than k letters of every term,
-        or, for two edits, that hold no third of a term.
+        Words that share no form with letters left out with any term are never
+        walked: a term within k edits has one in common, each with k left out at
+        most; nor are words that lack, or have besides, more than k letters of every
+        term, or, for two edits, that hold no third of a term.  Terms of over LONG
+        letters have too many such forms; they are kept by their length, and those
+        that are as long as the word but for two letters, and share a third with it
+        in its place, are walked.
         """
         if self.by_edits is None:
-            self.by_edits = []
-            for edits, lo, hi in ((1, 5, 9), (2, 9, 1 << 30)):
+            self.by_edits, self.long = [], {}
+            for edits, lo, hi in ((1, 5, 9), (2, 9, LONG + 1)):
                 own = [t for t in self.terms if lo <= len(t[0]) < hi]
-                parts = set().union(*(thirds(t) for t, _ in own)) if edits == 2 else set()
+                parts = {x for t, _ in own for _, x in thirds(t)} if edits == 2 else set()
                 self.by_edits.append((edits, Trie(own), {letters(t) for t, _ in own}, parts, sorted({len(x) for x in parts}), set().union(*(thinned(t, edits) for t, _ in own))))
-        n = len(word)
-        end, full = 1 << n, (2 << n) - 1
-        masks: dict[str, int] = {}
-        for i, letter in enumerate(word):
-            masks[letter] = masks.get(letter, 0) | 1 << i
+            for term in self.terms:
+                if len(term[0]) > LONG:
+                    self.long.setdefault(len(term[0]), []).append((term, thirds(term[0])))
+        n, has = len(word), letters(word)
         found: set[str] = set()
-        has = letters(word)
         for edits, trie, alphabets, parts, sizes, forms in self.by_edits:
             if not trie.root or not trie.shortest - edits <= n <= trie.longest + edits:
                 continue
@@ -161,27 +168,49 @@ class Trie:
                 continue
             if parts and not any(word[i : i + size] in parts for size in sizes for i in range(n - size + 1)) or forms.isdisjoint(thinned(word, edits)):
                 continue
-            start = [((2 << k) - 1) & full for k in range(edits + 1)]
-            stack = [(trie.root, start, [0] * (edits + 1), 0)]
-            while stack:
-                node, states, earlier, last = stack.pop()
-                for letter, child in node.items():
-                    if letter == "":
-                        if states[-1] & end:
-                            found.add(child)
-                    elif letter != "*":
-                        mask = masks.get(letter, 0)
-                        below = states[0]
-                        now = (below & mask) << 1
-                        following = [now]
-                        for k in range(1, edits + 1):
-                            state = states[k]
-                            swapped = ((earlier[k - 1] & mask) << 1 & last) << 1
-                            now = ((state & mask) << 1 | below | below << 1 | now << 1 | swapped) & full
-                            following.append(now)
-                            below = state
-                        if now:
-                            stack.append((child, following, states, mask))
+            found |= trie.walked(word, edits)
+        if n > LONG - 2 and self.long:
+            alike = [term for size in range(n - 2, n + 3) for term, parts in self.long.get(size, ()) if any(word.startswith(x, max(0, at + d)) for at, x in parts for d in range(-2, 3))]
+            if alike:
+                found |= Trie(alike).walked(word, 2)
+        return found
+
+    def walked(self, word: str, edits: int) -> set[str]:
+        """The whole terms within ``edits`` of the word.
+
+        The word's Levenshtein automaton advances with each letter of the trie,
+        from its root.  Bit i of its k-th state tells that i letters of the word
+        are read with at most k edits; a branch is left when no state is alive.
+        A swap reads two letters at once: it goes on from the state before the
+        last letter of the trie.
+        """
+        n = len(word)
+        end, full = 1 << n, (2 << n) - 1
+        masks: dict[str, int] = {}
+        for letter in set(word):
+            masks[letter] = int("".join("1" if x == letter else "0" for x in reversed(word)), 2)
+        found: set[str] = set()
+        start = [((2 << k) - 1) & full for k in range(edits + 1)]
+        stack = [(self.root, start, [0] * (edits + 1), 0)]
+        while stack:
+            node, states, earlier, last = stack.pop()
+            for letter, child in node.items():
+                if letter == "":
+                    if states[-1] & end:
+                        found.add(child)
+                elif letter != "*":
+                    mask = masks.get(letter, 0)
+                    below = states[0]
+                    now = (below & mask) << 1
+                    following = [now]
+                    for k in range(1, edits + 1):
+                        state = states[k]
+                        swapped = ((earlier[k - 1] & mask) << 1 & last) << 1
+                        now = ((state & mask) << 1 | below | below << 1 | now << 1 | swapped) & full
+                        following.append(now)
+                        below = state
+                    if now:
+                        stack.append((child, following, states, mask))
         return found
 
 
@@ -210,7 +239,7 @@ class Matcher(dict):
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
         lower = text.lower()
-        tokens = _WORD.findall(lower)
+        tokens = tokens_of(lower)
         kinds = [self[w] for w in tokens]
         if not any(kinds):
             return out
@@ -234,8 +263,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out()).withColumn("h", F.xxhash64("doc_id"))
     parts = [known.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(MAX_ROWS[y]).select("doc_id", "toxic") for y in (0, 1)]
-    # MAX_ROWS ids, by construction
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    # MAX_ROWS ids, by construction; the sample is read several times, the documents once.
+    return cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(parts[0].union(parts[1])), "doc_id"))
 
 
 def held_out():
@@ -245,7 +274,7 @@ def held_out():
 
 def bands(text: str) -> list[tuple[int, int]]:
     """(band, value) of a text's sketch: the least hashes of its neighbour triples in BANDS * BAND_ROWS buckets."""
-    ids = np.array([xxhash.xxh3_64_intdigest(x) for x in ["", *_WORD.findall(text.lower()), ""]], np.uint64)
+    ids = np.array([xxhash.xxh3_64_intdigest(x) for x in ["", *tokens_of(text.lower()), ""]], np.uint64)
     if len(ids) < 3:
         return []
     h = ((ids[:-2] * _PRIME ^ ids[1:-1]) * _PRIME ^ ids[2:]) * _PRIME
@@ -284,7 +313,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, str]]:
                 rows: Counter = Counter()
                 part = batch.slice(at, 128)
                 for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    w = ["", *_WORD.findall(text.lower()), ""]
+                    w = ["", *tokens_of(text.lower()), ""]
                     ids = [xxhash.xxh3_64_intdigest(x) for x in w]
                     rows.update((w[i], ((ids[i - 1] * 31 ^ ids[i + 1]) & (1 << 63) - 1), toxic) for i in range(1, len(w) - 1))
                 if rows:

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 from bidloom.llm import toxicity
@@ -166,3 +168,67 @@ def test_repeated_and_missing_ids_and_clashing_columns(spark):
     assert sum(r.doc_id == 7 for r in got) == 3
     kept = toxicity.clean(frame, labels)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.filter("doc_id is null").count() == 0 and kept.filter("doc_id = 7 and text = 'plain'").count() == 2
+
+
+PLAIN_WORD = re.compile(r"[^\W\d_](?:[\w@$!]*[^\W_])?|[\w@$]*[^\W\d_][\w@$]*[^\W_]")
+
+
+def test_tokens_are_those_of_the_plain_pattern_and_cost_linear_time():
+    draw = random.Random(8)
+    for _ in range(4000):
+        text = "".join(draw.choices("ab1_@$! ²é.", k=draw.randrange(0, 14)))
+        assert toxicity.tokens_of(text) == PLAIN_WORD.findall(text) == [m[0] for m in toxicity.words(text)], text
+    began = time.perf_counter()
+    for sign in "7_$@!":
+        assert toxicity.tokens_of(sign * 1_000_000) == []
+        assert toxicity.tokens_of("a" + sign * 1_000_000 + " b") == (["a" + sign * 1_000_000, "b"] if sign == "7" else ["a", "b"])
+    assert toxicity.tokens_of("1_" * 300_000 + "x") == ["x"]
+    assert time.perf_counter() - began < 20
+
+
+def test_long_terms_are_found_in_bounded_time():
+    draw = random.Random(9)
+    terms = ["".join(draw.choices("abcd", k=n)) for n in (24, 25, 26, 40, 400, 5000)]
+    began = time.perf_counter()
+    trie = toxicity.Trie([(t, "word") for t in terms])
+    for t in terms:
+        for _ in range(6):
+            w = list(t)
+            for _ in range(draw.randrange(0, 3)):
+                i = draw.randrange(len(w) - 1)
+                how = draw.randrange(4)
+                if how == 0:
+                    del w[i]
+                elif how == 1:
+                    w.insert(i, "z")
+                elif how == 2:
+                    w[i] = "y"
+                else:
+                    w[i : i + 2] = w[i + 1], w[i]
+            assert t in trie.near("".join(w))
+        w = t[:2] + "xyz" + t[2:]
+        assert t not in trie.near(w)
+    assert time.perf_counter() - began < 20
+
+
+def test_long_texts_and_terms_in_a_job(spark):
+    scream = "argh" * 1500
+    rows = [(f"{scream} zorg{i} you{i} {i}", 1) for i in range(40)] + [(f"calm{i} and plain{i} words", 0) for i in range(200)]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    texts = [t for t, _ in rows] + ["9" * 1_000_000, "_" * 1_000_000, "$" * 1_000_000, "x" * 1_000_000, scream[:-1] + " here"]
+    got = {r.doc_id: r.score for r in toxicity.classify(docs(spark, texts), labels).collect()}
+    assert max(got[240 + i] for i in range(4)) < 0.1 and got[244] > 0.3  # one misspelt hit, and none
+
+
+def test_missed_rows_hold_no_telling_word(spark):
+    """Of the toxic rows that are not learned from, those missed hold no word that toxic rows share and clean ones lack."""
+    folder = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    told = {r.doc_id: r for r in toxicity.classify(table, labels).collect()}
+    rows = [(r.doc_id, set(toxicity.tokens_of((r.text or "").lower())), r.toxic) for r in table.join(labels, "doc_id").collect()]
+    bad, good = (Counter(w for _, ws, y in rows if y == kind for w in ws) for kind in (1, 0))
+    telling = {w for w, n in bad.items() if n >= 5 and good[w] <= 0.02 * n}
+    held = [(i, ws) for i, ws, y in rows if y == 1 and told[i].held_out]
+    missed = [ws for i, ws in held if not told[i].predicted]
+    assert len(missed) < len(held) and not any(ws & telling for ws in missed)
+    assert sum(told[i].predicted for i, _, y in rows if y == 0) <= 1
