@@ -223,6 +223,9 @@ def _inline_text(n: Node) -> str:
     return "".join(out)
 
 
+ARTICLE_BONUS = 5
+
+
 def _score(order: list[Node]) -> None:
     for n in order:
         if n.tag not in PARAGRAPH:
@@ -239,7 +242,7 @@ def _score(order: list[Node]) -> None:
     for n in order:
         if n.score:
             if n.tag in ("article", "main") or FOR.search(n.marks):
-                n.score = n.score * 1.25 + 5
+                n.score = n.score * 1.25 + ARTICLE_BONUS
             n.score *= 1 - n.linked / max(1, n.chars)
 
 
@@ -281,6 +284,15 @@ def _known(best: Node) -> Node | None:
     return articles[-1] if articles else main
 
 
+def _with_siblings(known: Node) -> list[Node]:
+    """An article with its sibling articles that score like prose: an article told in several elements.  Others, such as teasers, stay out."""
+    if known.tag != "article" or known.parent is None:
+        return [known]
+    least = ARTICLE_BONUS + max(3.0, 0.2 * (known.score - ARTICLE_BONUS))  # every article has the bonus
+    beside = lambda p: not isinstance(p, str) and p.tag == "article" and p.score >= least and p.linked < 0.25 * max(1, p.chars)
+    return [p for p in known.parent.parts if p is known or beside(p)]
+
+
 def main_text(html: str) -> str:
     order = _prune_and_count(parse(html))
     _score(order)
@@ -291,7 +303,7 @@ def main_text(html: str) -> str:
         if best is None or best.linked > 0.5 * max(1, best.chars):
             return ""
     if (known := _known(best)) is not None:
-        return "\n".join(_blocks(known))
+        return "\n".join(line for n in _with_siblings(known) for line in _blocks(n))
     kept, parent = [best], best.parent
     if parent is not None:
         threshold = max(3.0, 0.2 * best.score)

@@ -134,7 +134,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     ngrams = dealt.groupBy("block").applyInArrow(_count(order), "h long, block int, n long")
     table = ngrams.withColumn("total", F.sum("n").over(W.partitionBy("h")))
     back = table.filter("total > n").select("block", "h", "total")

@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     hashes = dealt.groupBy("block").applyInArrow(_emit_hashes(blocks), "part int, block long, hashes binary, counts binary")
     flags = hashes.groupBy("part").applyInArrow(_find_repeats(hot), "part int, block long, flags binary")
     runs = dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_runs(blocks), _RUN)

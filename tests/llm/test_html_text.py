@@ -121,3 +121,11 @@ def test_time_is_linear_in_broken_pages():
         began = time.perf_counter()
         html_text.main_text(page)
         assert time.perf_counter() - began < 20
+
+
+def test_sibling_articles_are_kept_and_teasers_are_not():
+    prose = lambda w: "<p>" + ", ".join(f"{w} speaks of many things in long sentences {i}" for i in range(9)) + ".</p>"
+    page = f"<body><div><article>{prose('ONE')}</article><article>{prose('TWO')}</article><article><p>SHORT</p></article><article><a href='#'>{prose('LINK')}</a></article></div><article class='comment'>{prose('REPLY')}</article></body>"
+    text = html_text.main_text(page)
+    assert "ONE" in text and "TWO" in text and text.index("ONE") < text.index("TWO")
+    assert not any(w in text for w in ("SHORT", "LINK", "REPLY"))
