@@ -145,9 +145,12 @@ def collapse_sentences(c: Column) -> Column:
     return F.array_join(F.filter(parts, lambda x, i: (i == 0) | (x != F.get(parts, i - 1))), " ")
 
 
-def german_key(c: Column) -> Column:
-    """What German dictionary order compares first: letters without case and marks, ß as ss."""
-    return F.replace(search_normalize(c), F.lit("ß"), F.lit("ss"))
+def german_order(c: Column, numeric: bool = False) -> Column:
+    """A text to order by as a German dictionary does; ``numeric`` orders runs of digits by their value (up to 18 digits)."""
+    if numeric:
+        parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+        c = F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=[0-9])", ""), 18, "0")).otherwise(x)), "")
+    return F.collate(c, "de")
 
 
 def truncate_label(c: Column, limit: int) -> Column:

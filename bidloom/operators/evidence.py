@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import geometry
+from bidloom.operators import sequences
 
 
 def ordered_lookup(owners: DataFrame, owner: str, ids: str, rows: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -114,9 +115,9 @@ def collapsed_pages(df: DataFrame, group: str, seq: str, collapsed: Column, size
     row a group is put in a global order.
     """
     totals = df.groupBy(group).agg(F.min(seq).alias("_first"), F.count("*").alias("n"), F.bool_or(collapsed).alias("is_collapsed"))
-    w = W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
-    shown = totals.withColumn("_v", F.when(F.col("is_collapsed"), 0).otherwise(F.col("n")))
-    d = shown.withColumn("_o", F.coalesce(F.sum("_v").over(w), F.lit(0))).withColumn("_t", F.sum("_v").over(W.partitionBy()))
+    shown = totals.withColumn("_v", F.when(F.col("is_collapsed"), F.lit(0)).otherwise(F.col("n")))
+    total = shown.agg(F.coalesce(F.sum("_v"), F.lit(0))).first()[0]
+    d = sequences.running_before(shown, [F.col("_first")], "_v", "_o").withColumn("_t", F.lit(total))
     last = F.greatest(F.lit(1), F.ceil(F.col("_t") / size))
     page = F.floor(F.col("_o") / size) + 1
     return d.select(group, "n", "is_collapsed", F.least(page, last).cast("bigint").alias("first_page"), F.when(F.col("is_collapsed"), F.least(page, last)).otherwise(F.floor((F.col("_o") + F.col("n") - 1) / size) + 1).cast("bigint").alias("last_page"))

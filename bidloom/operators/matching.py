@@ -47,15 +47,37 @@ def role_priority(role: Column) -> Column:
     return out.otherwise(4)
 
 
-def reference_matches(basis: DataFrame, offers: DataFrame, bin_size: int = 64) -> DataFrame:
-    """Positions (prefix, first) within the offers' ranges (prefix, low, high).
-
-    An equi join on the prefix and bins of positions: a range goes to each bin it
-    touches, so a prefix is many small groups and only near pairs meet.
+def _dyadic(low: Column, high: Column) -> Column:
+    """array<struct<level, node>>: the fewest blocks of 2^level positions that make up a range, two a level at most."""
+    state = "struct<low:bigint,high:bigint,out:array<struct<level:int,node:bigint>>>"
+    zero = F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out")).cast(state)
+
+    def step(a: Column, level: Column) -> Column:
+        open_ = a["low"] <= a["high"]
+        left, right = open_ & (a["low"] % 2 == 1), open_ & (a["high"] % 2 == 0)
+        node = lambda c: F.struct(level.alias("level"), c.alias("node"))
+        single = left & right & (a["low"] == a["high"])
+        ends = F.array_compact(F.array(F.when(left, node(a["low"])), F.when(right & ~single, node(a["high"]))))
+        lo, hi = F.when(left, a["low"] + 1).otherwise(a["low"]), F.when(right, a["high"] - 1).otherwise(a["high"])
+        halved = lambda c: F.floor(c / 2)
+        return F.struct(F.when(open_, halved(lo)).otherwise(F.lit(1)).alias("low"), F.when(open_, F.when(lo <= hi, halved(hi)).otherwise(halved(lo) - 1)).otherwise(F.lit(0)).alias("high"), F.concat(a["out"], ends).alias("out")).cast(state)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), zero, step, lambda a: a["out"])
+
+
+def reference_matches(basis: DataFrame, offers: DataFrame) -> DataFrame:
+    """Positions (prefix, first) within the offers' ranges (prefix, low, high); all numbers are 0 or more.
+
+    An equi join on the prefix and dyadic blocks: a range goes to the few blocks
+    that make it up (twice its length's digits at most, however wide it is), a
+    position to its block of each size that ranges use, so every pair meets once.
     """
-    at = basis.withColumn("_bin", F.floor(F.col("first") / bin_size))
-    spans = offers.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / bin_size), F.floor(F.col("high") / bin_size))))
-    return at.join(spans, ["prefix", "_bin"]).filter(F.col("first").between(F.col("low"), F.col("high"))).drop("_bin")
+    spans = offers.withColumn("_at", F.explode(_dyadic(F.col("low"), F.col("high")))).withColumns({"_level": F.col("_at.level"), "_node": F.col("_at.node")}).drop("_at")
+    used = sorted(r["_level"] for r in spans.select("_level").distinct().collect())  # 63 levels at most
+    if not used:
+        return basis.join(offers, "prefix").limit(0)
+    at = basis.withColumn("_level", F.explode(F.array(*map(F.lit, used)))).withColumn("_node", F.expr("shiftright(cast(first as bigint), _level)"))
+    return at.join(spans, ["prefix", "_level", "_node"]).drop("_level", "_node")
 
 
 def match_status(role: Column, direct: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,39 +91,84 @@ def lone_in_range(df: DataFrame, keys: list[str], at: str, within: float, name:
     return df.withColumn("_b", F.floor(F.col(at) / within)).join(around, [*keys, "_b"]).withColumn(name, ~near).drop("_b", "_own", "_left", "_right")
 
 
+def _swept(items: DataFrame, keys: list[str], columns: list[str], sweep) -> DataFrame:
+    """keys, seq, line of items (keys, seq, columns): one pass over a page's items, which are all that a group holds."""
+    kinds = dict(items.dtypes)
+    kept = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(columns + ["seq"], kind="stable")
+        page["line"] = sweep(*(page[c].to_numpy() for c in columns))
+        return page[[*keys, "seq", "line"]]
+
+    return items.select(*keys, "seq", *columns).groupBy(*keys).applyInPandas(run, f"{kept}, seq {kinds['seq']}, line int")
+
+
 def clustered_lines(items: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """Visual lines of text items (keys, seq, y): an item joins the line whose running centre lies within the tolerance.
 
-    The centre moves with every item, so a group is a fold over its ordered items.
+    The centre moves with every item, so no window can tell; a page is one pass over its ordered items.
     """
-    rows = F.array_sort(F.collect_list(F.struct("y", "seq")))
-    state = "struct<line:int,n:int,centre:double,out:array<struct<seq:bigint,line:int>>>"
-    zero = F.expr(f"cast(named_struct('line', 0, 'n', 0, 'centre', 0D, 'out', array()) as {state})")
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] > 0) & (F.abs(x["y"] - acc["centre"]) <= tolerance)
-        line = F.when(fits, acc["line"]).otherwise(acc["line"] + 1)
-        n = F.when(fits, acc["n"] + 1).otherwise(1)
-        centre = F.when(fits, acc["centre"] + (x["y"] - acc["centre"]) / (acc["n"] + 1)).otherwise(x["y"])
-        out = F.array_append(acc["out"], F.struct(x["seq"].cast("bigint").alias("seq"), line.alias("line")))
-        return F.struct(line.alias("line"), n.alias("n"), centre.alias("centre"), out.alias("out")).cast(state)
+    def sweep(ys) -> list[int]:
+        line, n, centre, out = 0, 0, 0.0, []
+        for y in ys.tolist():
+            if n and abs(y - centre) <= tolerance:
+                centre += (y - centre) / (n + 1)
+                n += 1
+            else:
+                line, n, centre = line + 1, 1, y
+            out.append(line)
+        return out
 
-    return items.groupBy(*keys).agg(F.aggregate(rows, zero, step).alias("_s")).select(*keys, F.explode("_s.out").alias("_o")).select(*keys, "_o.*")
+    return _swept(items, keys, ["y"], sweep)
 
 
-def pages_of(df: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """row_number and 1-based page of a result in one global order.
+def overlapping_lines(items: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
+    """Visual lines of text items (keys, seq, y, x, height): an item joins the newest line of which it overlaps some item by ``share`` of the lower of both heights.
 
-    The order is range-partitioned and checkpointed, so that both readers below
-    see the same partitions; a row's number is its partition's offset plus its
-    place there, which its increasing id tells.
+    Lines are numbered from 1 by their first item.  Items are taken from the top, so
+    boxes that end above the present item are left behind for good.
     """
+
+    def sweep(ys, _xs, heights) -> list[int]:
+        out, live, last = [], [], 0  # live: [line, boxes that may still overlap], oldest line first
+        for y, h in zip(ys.tolist(), heights.tolist()):
+            for line in live:
+                line[1] = [b for b in line[1] if b[1] >= y]
+            live = [line for line in live if line[1]]
+            joined = next((line for line in reversed(live) if any(min(b, y + h) - max(t, y) >= min(b - t, h) * share for t, b in line[1])), None)
+            if joined is None:
+                last += 1
+                joined = [last, []]
+                live.append(joined)
+            joined[1].append((y, y + h))
+            out.append(joined[0])
+        return out
+
+    return _swept(items, keys, ["y", "x", "height"], sweep)
+
+
+def numbered_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in one global order, range-partitioned and checkpointed, with their partition ``_p`` and place ``_i`` in it."""
     placed = cut(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()))
-    placed = placed.withColumns({"_p": F.shiftright("_i", 33), "_n": F.col("_i").bitwiseAND((1 << 33) - 1) + 1})
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row per partition
-    numbered = placed.join(F.broadcast(offsets), "_p").withColumn("row_number", F.col("_o") + F.col("_n"))
-    return numbered.withColumn("page", F.ceil(F.col("row_number") / size).cast("bigint")).drop("_p", "_i", "_n", "_o")
+    return placed.withColumns({"_p": F.shiftright("_i", 33), "_i": F.col("_i").bitwiseAND((1 << 33) - 1)})
+
+
+def running_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows before a row in one global order, as its partition's offset and a sum within the partition."""
+    placed = numbered_ranges(df, order)
+    sums = placed.groupBy("_p").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_p", F.coalesce(F.sum("_sum").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))  # a row per partition
+    within = F.coalesce(F.sum(value).over(W.partitionBy("_p").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_inside", within).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_offset") + F.col("_inside")).drop("_p", "_i", "_offset", "_inside")
+
+
+def pages_of(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """row_number and 1-based page of a result in one global order."""
+    d = running_before(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", "_before").drop("_one")
+    number = F.col("_before") + 1
+    return d.withColumns({"row_number": number, "page": F.ceil(number / size).cast("bigint")}).drop("_before")
 
 
 def sampled_pages(n: Column) -> Column:
@@ -131,7 +177,10 @@ def sampled_pages(n: Column) -> Column:
     return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(F.concat(near, F.array(F.ceil(n / 3).cast("int"), F.ceil(n * 2 / 3).cast("int"), n)))))
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: the element in the middle, the upper one of two."""
-    s = F.array_sort(F.collect_list(values))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """keys and the middle value of each group, the upper one of two; nulls do not count.  Groups are ranked, never gathered."""
+    w = W.partitionBy(*keys)
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias(name))
+    d = d.withColumns({"_r": F.row_number().over(w.orderBy(name)), "_n": F.count("*").over(w)})
+    return d.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).drop("_r", "_n")
+

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import geometry as g
 from bidloom.functions import text
-from bidloom.operators import geometry, keyed, matching, sequences
+from bidloom.operators import documents, geometry, keyed, matching, sequences
 from bidloom.plans.registry import query
 
 SIGNALS = {"licence": "(?i)licensed under", "token": "token =", "mail": "[A-Za-z0-9]+@[A-Za-z0-9]+", "address": "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"}
@@ -164,3 +165,34 @@ SELECT doc_id, CASE WHEN length(text) > 80 THEN regexp_replace(substring(text, 1
 """)
 def short_labels(t):
     return t.documents.select("doc_id", text.truncate_label(F.col("text"), 80).alias("label"))
+
+
+@query("""
+WITH m AS (SELECT p_partkey AS position, s_suppkey AS document, '1.' || p_partkey % 40 || '.' || (p_size % 7 + 1) AS reference FROM part JOIN supplier ON (p_partkey + s_suppkey) % 20 = 0),
+w AS (SELECT DISTINCT l_suppkey AS document, l_orderkey % 50 + 1 AS page, '1.' || (l_partkey + d) % 40 || '.' || l_linenumber AS reference FROM lineitem, (SELECT unnest([0, 1]) AS d))
+SELECT position, document, string_agg(page, ',' ORDER BY page) AS pages FROM m JOIN w USING (document, reference) GROUP BY 1, 2
+""")
+def mentions_of_missing(t):
+    """Pages of a supplier's document that mention a position it does not offer."""
+    mention = lambda d: F.format_string("01.%d. %02d", (F.col("l_partkey") + d) % 40, F.col("l_linenumber"))
+    content = F.concat(F.lit("Pos "), mention(0), F.lit(" und "), F.replace(mention(1), F.lit(" "), F.lit("")), F.lit(", 3 Stk"))
+    pages = t.lineitem.select(F.col("l_suppkey").alias("document"), (F.col("l_orderkey") % 50 + 1).alias("page"), content.alias("content"))
+    missing = t.part.join(t.supplier, (F.col("p_partkey") % 20) == (-F.col("s_suppkey") % 20 + 20) % 20).select(F.col("p_partkey").alias("position"), F.concat_ws(".", F.lit("1"), F.col("p_partkey") % 40, F.col("p_size") % 7 + 1).alias("reference"), F.col("s_suppkey").alias("document"))
+    found = documents.missing_but_mentioned(missing, documents.postings(pages, r"[0-9]+(?:\.\s?[0-9]+)+"))
+    return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT l_orderkey AS k, y, h, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY y, x) AS i
+  FROM (SELECT DISTINCT l_orderkey, l_suppkey % 8 * 10 AS y, l_quantity % 3 * 8 + 4 AS h, l_partkey AS x FROM lineitem)),
+f AS (SELECT k, i, 1 AS line, [{'l': 1, 'y': y, 'b': y + h}] AS boxes FROM i WHERE i = 1
+  UNION ALL SELECT k, i, line, list_append(boxes, {'l': line, 'y': y, 'b': y + h}) FROM (
+    SELECT i.k, i.i, i.y, i.h, boxes, coalesce(list_max(list_transform(list_filter(boxes, lambda b: least(b.b, i.y + i.h) - greatest(b.y, i.y) >= least(b.b - b.y, i.h) * 0.5), lambda b: b.l)), list_max(list_transform(boxes, lambda b: b.l)) + 1) AS line
+    FROM f JOIN i ON i.k = f.k AND i.i = f.i + 1))
+SELECT k AS l_orderkey, max(line) AS n_lines, count(*) AS n_items, sum(line * i)::BIGINT AS digest FROM f GROUP BY 1
+""")
+def overlapping_lines(t):
+    """Visual lines by the overlap of boxes, per order; the digest weighs each item's line with its place."""
+    items = t.lineitem.select("l_orderkey", (F.col("l_suppkey") % 8 * 10).cast("double").alias("y"), F.col("l_partkey").alias("x"), (F.col("l_quantity") % 3 * 8 + 4).alias("height")).distinct()
+    items = items.withColumn("seq", F.row_number().over(W.partitionBy("l_orderkey").orderBy("y", "x")))
+    return sequences.overlapping_lines(items, ["l_orderkey"]).groupBy("l_orderkey").agg(F.max("line").cast("bigint").alias("n_lines"), F.count("*").alias("n_items"), F.sum(F.col("line") * F.col("seq")).cast("bigint").alias("digest"))

@@ -359,7 +359,7 @@ def grouped_pagination(t):
 SELECT p_type, list_sort(list(p_size))[len(list(p_size)) // 2 + 1] AS median FROM part GROUP BY 1
 """)
 def upper_median(t):
-    return t.part.groupBy("p_type").agg(sequences.upper_median(F.col("p_size")).alias("median"))
+    return sequences.upper_median(t.part, ["p_type"], "p_size")
 
 
 @query("""

@@ -206,16 +206,26 @@ def list_orders(t):
     return s.select("k", F.inline(keys))
 
 
-GERMAN = ["Zange", "Äpfel", "apfel", "Straße", "strasse 10", "Öl", "ofen", "Über", "Stück 9", "stuck"]
+GERMAN = ["Zange", "Äpfel", "apfel", "Apfel", "Straße", "Strasse", "Öl", "ofen", "Über", "uber", "Stück", "stuck"]
 REPEATED = ["Rohr Rohr DN 50. Rohr DN 50.", "Bogen. Bogen. Ventil.", "a\nb\nb\nc", "plain", "Eins! Eins! Zwei?"]
 
 
+def german_names(t):
+    return t.part.groupBy(F.concat_ws(" ", pick(GERMAN, F.col("p_partkey")), F.col("p_size")).alias("name")).agg(F.count("*").alias("n"))
+
+
 @query(f"""
-SELECT {pick_sql(GERMAN, 'p_partkey')} AS name, replace(translate(lower({pick_sql(GERMAN, 'p_partkey')}), 'äöü', 'aou'), 'ß', 'ss') AS key, count(*) AS n FROM part GROUP BY ALL ORDER BY key, name
+SELECT name, n FROM (SELECT {pick_sql(GERMAN, 'p_partkey')} || ' ' || p_size AS name, count(*) AS n FROM part GROUP BY 1) ORDER BY name COLLATE de
 """)
 def german_order(t):
-    d = t.part.groupBy(pick(GERMAN, F.col("p_partkey")).alias("name")).agg(F.count("*").alias("n"))
-    return d.select("name", text.german_key(F.col("name")).alias("key"), "n").orderBy("key", "name")
+    return german_names(t).orderBy(text.german_order(F.col("name")))
+
+
+@query(f"""
+SELECT name, n FROM (SELECT {pick_sql(GERMAN, 'p_partkey')} AS word, p_size, {pick_sql(GERMAN, 'p_partkey')} || ' ' || p_size AS name, count(*) AS n FROM part GROUP BY ALL) ORDER BY (word || ' ' || lpad(p_size::VARCHAR, 18, '0')) COLLATE de
+""")
+def german_numeric_order(t):
+    return german_names(t).orderBy(text.german_order(F.col("name"), numeric=True))
 
 
 @query(f"""
