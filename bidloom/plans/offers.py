@@ -294,16 +294,6 @@ def discrepancy_codes(t):
     return options(t).groupBy(matching.all_reasons([(n, F.expr(e)) for n, e in CODES]).alias("codes")).agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH {OPTIONS}
-SELECT CASE WHEN option % 9 = 0 THEN 'NO_OFFER' WHEN total < 1000 THEN 'UNPRICED' WHEN n_lines > 1 THEN 'BUNDLE_TOTAL' ELSE 'TOTAL' END AS state,
-  count(*) AS n, count(*) FILTER (WHERE NOT abs(quantity * 1400 - total) <= greatest(0.02, abs(total) * 0.02)) AS n_warnings FROM o GROUP BY 1
-""")
-def price_display(t):
-    state = F.when(F.col("option") % 9 == 0, "NO_OFFER").when(F.col("total") < 1000, "UNPRICED").when(F.col("n_lines") > 1, "BUNDLE_TOTAL").otherwise("TOTAL")
-    return options(t).groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.count_if(~numbers.prices_close(F.col("quantity"), F.lit(1400.0), F.col("total"))).alias("n_warnings"))
-
-
 @query(f"""
 WITH {OPTIONS}, w AS (SELECT position, unnest(list_filter([CASE WHEN total > 80000 THEN 'HIGH' END, CASE WHEN n_lines > 1 THEN 'SPLIT' END, CASE WHEN quantity < 3 THEN 'LOW' END], lambda x: x IS NOT NULL)) AS code FROM o)
 SELECT code, count(*) AS n, count(DISTINCT position) AS n_positions FROM w GROUP BY 1

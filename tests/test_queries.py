@@ -1,7 +1,7 @@
 """Every named query of the library against its SQL."""
 
 import pytest
-from bidloom.plans import cases, classes, codes, documents, flows, layouts, live, logs, offers, rebuilds, registry, rest, reviews, rulings, scans, tender, views  # noqa: F401
+from bidloom.plans import audits, cases, classes, codes, documents, flows, layouts, live, logs, offers, rebuilds, registry, rest, reviews, rulings, scans, tender, views  # noqa: F401
 from compare import connect, same_rows
 
 SF = "/root/testdata/sf0.001"
