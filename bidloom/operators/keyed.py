@@ -151,3 +151,26 @@ def accepted_uploads(df: DataFrame, batch: str, order: list[str], size: str, max
         return F.when(fits, F.struct((acc["files"] + 1).alias("files"), (acc["total"] + x["_s"]).alias("total"))).otherwise(acc)
 
     return df.groupBy(batch).agg(F.aggregate(entries, zero, step).alias("_a")).select(batch, F.col("_a.files").cast("bigint").alias("accepted"), F.col("_a.total").alias("accepted_size"))
+
+
+def versioned_changes(current: DataFrame, changes: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows after a batch of changes, outcome of each change) of rows (key, version, value) and changes (key, seq, expected, action, value).
+
+    INSERT expects no row (version 0), UPDATE and DELETE the version that is there.
+    Of several changes of one row the first that names its version holds and makes
+    the next version; the others are conflicts, told with the version they met.
+    Changes of a row that is not there, but for inserts, are MISSING.
+    """
+    there = current.select(key, F.col("version").alias("_version"), F.lit(True).alias("_there"))
+    d = changes.join(there, key, "left")
+    known, actual = F.coalesce("_there", F.lit(False)), F.coalesce("_version", F.lit(0))
+    fits = F.coalesce(F.when(F.col("action") == "INSERT", ~known & (F.col("expected") == 0)).otherwise(known & (F.col("expected") == actual)), F.lit(False))
+    d = d.withColumns({"_fits": fits, "_actual": actual, "_known": known})
+    first = F.min(F.when(F.col("_fits"), F.col("seq"))).over(W.partitionBy(key))
+    d = d.withColumn("_holds", F.coalesce(F.col("_fits") & (F.col("seq") == first), F.lit(False)))
+    outcome = F.when(F.col("_holds"), "DONE").when(~F.col("_known") & (F.col("action") != "INSERT"), "MISSING").otherwise("CONFLICT")
+    outcomes = d.select(key, "seq", "action", outcome.alias("outcome"), F.when(~F.col("_holds"), F.col("_actual")).alias("actual"))
+    done = d.filter("_holds").select(key, F.col("action").alias("_action"), F.col(value).alias("_value"))
+    rows = current.join(done, key, "full_outer").filter("_action is null or _action <> 'DELETE'")
+    changed = F.col("_action").isNotNull()
+    return rows.select(key, (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version"), F.when(changed, F.col("_value")).otherwise(F.col(value)).alias(value)), outcomes

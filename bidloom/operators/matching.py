@@ -203,7 +203,13 @@ def backtest(decision: Column, present: Column, auto: Column, history: Column, h
 
 
 def resolve_brand(names: DataFrame, name: str, registry: DataFrame) -> DataFrame:
-    """Names with the first brand (brand_seq) whose exact key (kind 0) or alias (kind 1) theirs equals, else 'unknown:<key>'."""
+    """Names with the first brand (brand_seq) whose exact key (kind 0) or alias (kind 1) theirs equals, else 'unknown:<key>'; and confidence EXACT, ALIAS or UNKNOWN.
+
+    The registry's order comes before the kind: an earlier brand's alias wins over a later brand's own name.
+    """
     keyed = names.withColumn("key", text.brand_key(F.col(name)))
-    best = registry.groupBy("key").agg(F.min_by("brand", F.struct("brand_seq", "kind")).alias("brand"))
-    return keyed.join(best, "key", "left").withColumn("brand", F.coalesce("brand", F.concat(F.lit("unknown:"), "key")))
+    best = registry.groupBy("key").agg(F.min_by(F.struct("brand", "kind"), F.struct("brand_seq", "kind")).alias("_b"))
+    d = keyed.join(best, "key", "left")
+    confidence = F.when(F.col("_b").isNull(), "UNKNOWN").when(F.col("_b.kind") == 0, "EXACT").otherwise("ALIAS")
+    return d.withColumns({"brand": F.coalesce("_b.brand", F.concat(F.lit("unknown:"), F.coalesce(F.nullif(F.col("key"), F.lit("")), F.lit("empty")))), "confidence": confidence}).drop("_b")
+

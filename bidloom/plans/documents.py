@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import geometry as g
 from bidloom.functions import text
 from bidloom.operators import documents, geometry, keyed, matching, sequences
+from bidloom.plans.flows import text_pages
 from bidloom.plans.registry import query
 
 SIGNALS = {"licence": "(?i)licensed under", "token": "token =", "mail": "[A-Za-z0-9]+@[A-Za-z0-9]+", "address": "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"}
@@ -196,3 +197,13 @@ def overlapping_lines(t):
     items = t.lineitem.select("l_orderkey", (F.col("l_suppkey") % 8 * 10).cast("double").alias("y"), F.col("l_partkey").alias("x"), (F.col("l_quantity") % 3 * 8 + 4).alias("height")).distinct()
     items = items.withColumn("seq", F.row_number().over(W.partitionBy("l_orderkey").orderBy("y", "x")))
     return sequences.overlapping_lines(items, ["l_orderkey"]).groupBy("l_orderkey").agg(F.max("line").cast("bigint").alias("n_lines"), F.count("*").alias("n_items"), F.sum(F.col("line") * F.col("seq")).cast("bigint").alias("digest"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+p AS (SELECT doc_id AS document, i // 20 AS page, i % 20 AS place, count(*) OVER (PARTITION BY doc_id, i // 20) AS n, trim(regexp_replace(regexp_replace(lower(x), '[()]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM l)
+SELECT document, line, count(DISTINCT page) AS n_pages FROM p WHERE line <> '' AND (place < 6 OR place >= n - 4) GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2
+""")
+def page_furniture(t):
+    """Lines that stand at the edges of several pages of a document; a page is twenty lines."""
+    return documents.page_furniture(text_pages(t))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidloom.operators import history, keyed
+from bidloom.operators import history, keyed, sequences
 from bidloom.plans.codes import pick, pick_sql
 from bidloom.plans.registry import query
 from bidloom.sources import tables
@@ -193,13 +194,14 @@ def scan_issues(t):
 
 
 @query(f"""
-WITH {PAGES_SQL}, s AS (SELECT *, CASE WHEN document % 9 > 0 THEN trim(content, ' ') ELSE '' END AS c FROM p WHERE page <= 5),
+WITH {PAGES_SQL}, s AS (SELECT *, CASE WHEN document % 9 > 0 THEN trim(content, ' ') ELSE '' END AS c FROM (SELECT *, max(page) OVER (PARTITION BY document) AS n FROM p) WHERE page <= 5 OR page IN (ceil(n / 3), ceil(n * 2 / 3), n)),
 g AS (SELECT document, coalesce(string_agg(c, chr(10) ORDER BY page) FILTER (WHERE c <> ''), '') AS text, count(*) AS inspected, count(*) FILTER (WHERE length(c) >= 20) AS with_text, avg(CASE WHEN document % 4 = 0 THEN page * 10.0::DOUBLE END) AS ocr_mean FROM s GROUP BY 1),
 x AS (SELECT *, CASE WHEN length(text) < 40 THEN CASE WHEN document % 2 = 0 THEN 'doc ' || document || ' end' ELSE text END ELSE text END AS best FROM g)
 SELECT document, md5(best) AS digest, length(best) AS chars, inspected, with_text, ocr_mean FROM x
 """)
 def page_previews(t):
-    pages = text_pages(t).filter("page <= 5").withColumns({"content": F.when(F.col("document") % 9 > 0, F.col("content")).otherwise(""), "ocr_confidence": F.when(F.col("document") % 4 == 0, F.col("page") * F.lit(10.0))})
+    numbered = text_pages(t).withColumn("n", F.max("page").over(W.partitionBy("document")))
+    pages = numbered.filter(F.array_contains(sequences.sampled_pages(F.col("n")), F.col("page"))).drop("n").withColumns({"content": F.when(F.col("document") % 9 > 0, F.col("content")).otherwise(""), "ocr_confidence": F.when(F.col("document") % 4 == 0, F.col("page") * F.lit(10.0))})
     raw = t.documents.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("document"), F.concat(F.lit("BT (doc "), F.col("doc_id").cast("string"), F.lit(") Tj 0 0 Td (end) Tj ET")).alias("content"))
     raw = raw.withColumn("content", F.regexp_replace("content", r"\(doc ([0-9]+)\) Tj", r"(doc $1) Tj"))
     return tables.previews(pages, raw).select("document", F.md5("text").alias("digest"), "chars", "inspected", "with_text", "ocr_mean")

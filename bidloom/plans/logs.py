@@ -313,3 +313,35 @@ SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_par
 def natural_version_order(t):
     number = F.concat_ws(".", "p_size", F.col("p_partkey") % 10, "p_partkey")
     return keyed.versions(t.part, "p_brand", [references.version_key(number)], "place").select("p_partkey", "place")
+
+
+_CHANGES_SQL = """
+c AS (SELECT c_custkey AS k, c_custkey % 3 + 1 AS version, c_mktsegment AS v FROM customer WHERE c_custkey % 4 > 0),
+h AS (SELECT o_custkey AS k, o_orderkey AS seq, o_orderkey % 4 AS expected, CASE WHEN o_orderkey % 4 = 0 THEN 'INSERT' WHEN o_orderkey % 5 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS action, 'v' || o_orderkey % 7 AS v FROM orders),
+j AS (SELECT h.*, c.k IS NOT NULL AS known, coalesce(version, 0) AS actual, CASE WHEN action = 'INSERT' THEN c.k IS NULL ELSE c.k IS NOT NULL AND expected = version END AS fits FROM h LEFT JOIN c USING (k)),
+f AS (SELECT *, fits AND seq = min(seq) FILTER (WHERE fits) OVER (PARTITION BY k) AS holds FROM j)
+"""
+
+
+def _changed(t):
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    rows = t.customer.filter(k % 4 > 0).select(k.alias("k"), (k % 3 + 1).alias("version"), F.col("c_mktsegment").alias("v"))
+    action = F.when(o % 4 == 0, "INSERT").when(o % 5 == 0, "DELETE").otherwise("UPDATE")
+    return keyed.versioned_changes(rows, t.orders.select(F.col("o_custkey").alias("k"), o.alias("seq"), (o % 4).alias("expected"), action.alias("action"), F.concat(F.lit("v"), (o % 7).cast("string")).alias("v")), "k", "v")
+
+
+@query(f"""
+WITH {_CHANGES_SQL}, d AS (SELECT k, action, v FROM f WHERE holds)
+SELECT coalesce(c.k, d.k) AS k, coalesce(version, 0) + CASE WHEN action IS NULL THEN 0 ELSE 1 END AS version, CASE WHEN action IS NULL THEN c.v ELSE d.v END AS v FROM c FULL JOIN d ON c.k = d.k WHERE action IS DISTINCT FROM 'DELETE'
+""")
+def versioned_rows(t):
+    """Rows after a batch of inserts, versioned updates and deletes."""
+    return _changed(t)[0]
+
+
+@query(f"""
+WITH {_CHANGES_SQL} SELECT k, seq, action, CASE WHEN holds THEN 'DONE' WHEN NOT known AND action <> 'INSERT' THEN 'MISSING' ELSE 'CONFLICT' END AS outcome, CASE WHEN coalesce(holds, false) THEN NULL ELSE actual END AS actual FROM f
+""")
+def versioned_outcomes(t):
+    """What became of each change, with the version that a refused one met."""
+    return _changed(t)[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidloom.functions import numbers, references, text
+from bidloom.functions import numbers, prices, references, text
 from bidloom.operators import keyed, matching, sequences
 from bidloom.plans.registry import query
 
@@ -377,10 +377,49 @@ def self_check(t):
     return t.supplier.select("s_suppkey", (odd & far).alias("ok"), F.round(numbers.line_confidence(no_reference=odd, no_evidence=far), 6).alias("confidence"))
 
 
-@query("""
-SELECT p_brand AS name, 'Brand ' || split_part(p_brand, '#', 2) AS brand, count(*) AS n FROM part GROUP BY 1, 2
+BRAND_SQL = """
+n AS (SELECT DISTINCT split_part(p_brand, '#', 2)::INTEGER AS n FROM part),
+r AS (SELECT 'haus ' || n AS key, n, 0 AS kind FROM n UNION ALL SELECT 'h ' || n, n, 0 FROM n UNION ALL SELECT 'brand ' || n, n, 1 FROM n UNION ALL SELECT 'h ' || (n + 1), n, 1 FROM n),
+x AS (SELECT CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN 'HAUS ' || split_part(p_brand, '#', 2) || ' GmbH' WHEN 2 THEN 'H-' || split_part(p_brand, '#', 2) ELSE 'Fremd ' || split_part(p_brand, '#', 2) END AS name,
+  CASE p_partkey % 4 WHEN 0 THEN 'brand ' WHEN 1 THEN 'haus ' WHEN 2 THEN 'h ' ELSE 'fremd ' END || split_part(p_brand, '#', 2) AS key FROM part)
+"""
+
+
+@query(f"""
+WITH {BRAND_SQL}, b AS (SELECT key, arg_min(struct_pack(n := n, kind := kind), n * 10 + kind) AS b FROM r GROUP BY 1)
+SELECT name, coalesce('Haus ' || b.n, 'unknown:' || x.key) AS brand, CASE WHEN b IS NULL THEN 'UNKNOWN' WHEN b.kind = 0 THEN 'EXACT' ELSE 'ALIAS' END AS confidence, count(*) AS n FROM x LEFT JOIN b ON b.key = x.key GROUP BY 1, 2, 3
 """)
 def brand_resolution(t):
-    registry = t.part.select("p_brand").distinct().select(text.brand_key(F.col("p_brand")).alias("key"), F.concat(F.lit("Brand "), F.element_at(F.split("p_brand", "#"), 2)).alias("brand"), F.lit(0).alias("brand_seq"), F.lit(0).alias("kind"))
-    names = t.part.select(F.col("p_brand").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return matching.resolve_brand(names, "name", registry).select("name", "brand", "n")
+    """Own and short names before aliases, per brand in the registry's order: 'H n' is the brand before, whose alias it is, where there is one."""
+    number = F.element_at(F.split("p_brand", "#"), 2)
+    n = t.part.select(number.cast("int").alias("n")).distinct()
+    entry = lambda name, kind: F.struct(name.alias("key"), F.lit(kind).alias("kind"))
+    of = lambda words, c: F.concat(F.lit(words), c.cast("string"))
+    names = F.array(entry(of("Haus ", F.col("n")), 0), entry(of("H ", F.col("n")), 0), entry(of("Brand#", F.col("n")), 1), entry(of("H ", F.col("n") + 1), 1))
+    registry = n.select(F.col("n").alias("brand_seq"), of("Haus ", F.col("n")).alias("brand"), F.inline(names)).withColumn("key", text.brand_key(F.col("key")))
+    k = F.col("p_partkey") % 4
+    named = F.when(k == 0, F.col("p_brand")).when(k == 1, F.concat(F.lit("HAUS "), number, F.lit(" GmbH"))).when(k == 2, F.concat(F.lit("H-"), number)).otherwise(F.concat(F.lit("Fremd "), number))
+    found = t.part.groupBy(named.alias("name")).agg(F.count("*").alias("n"))
+    return matching.resolve_brand(found, "name", registry).select("name", "brand", "confidence", "n")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber AS n, l_quantity::INTEGER AS q, l_suppkey AS s, (l_orderkey + l_linenumber) % 7 AS k FROM lineitem)
+SELECT l_orderkey, n AS l_linenumber, k, CASE k WHEN 0 THEN s + 0.5 WHEN 1 THEN s + 0.25 WHEN 3 THEN s + 0.25 END::DOUBLE AS unit_price,
+  CASE k WHEN 0 THEN 1000 + 100 + n WHEN 1 THEN q + 0.5 WHEN 2 THEN s + 0.25 WHEN 3 THEN q + 0.75 WHEN 4 THEN q + 0.75 WHEN 5 THEN q END::DOUBLE AS total_price,
+  k IN (0, 2, 5, 6) AS stated, CASE k WHEN 0 THEN 100 WHEN 5 THEN 1000 END::DOUBLE AS basis FROM x
+""")
+def stated_prices(t):
+    """Prices and price bases of seven kinds of text, each with its line's own numbers."""
+    n, q, s, k = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_suppkey"), (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    texts = [
+        F.format_string("Rohr EP: %d,50 GP 1.%d,00\nEinzelpreis je 100 St", s, n + 100),
+        F.format_string(" %d,25 %d,50 Rest 5,00", s, q),
+        F.format_string("%d,25 EUR/10 Stk\nPreis pro 100", s),
+        F.format_string("Kundenrabatt -20,00\nPositionsnetto %d,25 %d,75 und 9,00", s, q),
+        F.format_string("EP 1,00\nPOSITIONSNETTO %d,75", q),
+        F.format_string("Gesamtpreis %d (per 1.000m)", q),
+        F.format_string("kein Preis %d,55\nPreise je ??? St", q),
+    ]
+    d = t.lineitem.select("l_orderkey", "l_linenumber", k.alias("k"), F.get(F.array(*texts), k.cast("int")).alias("c"))
+    return d.select("l_orderkey", "l_linenumber", "k", prices.stated_prices(F.col("c")).alias("p"), prices.stated_basis(F.col("c")).alias("b")).select("l_orderkey", "l_linenumber", "k", "p.*", "b.*")

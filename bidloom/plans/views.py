@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions import geometry as g
@@ -275,3 +278,35 @@ def item_regions(t):
     box = g.from_transform(m, F.lit(5.0), F.lit(50.0), F.lit(100.0))
     d = views.padded_items(t.part, box, 0.01)
     return d.select("p_partkey", F.round("region.x", 6).alias("x"), F.round("region.y", 6).alias("y"))
+
+
+FILTERS = [("", None, "ALL"), ("RED", None, "ALL"), (" a-7 ", None, "UNSELECTED"), ("widget", 3, "SELECTED"), ("", 5, "WARNINGS"), ("1.1", 4, "ALL")]
+_FILTER_SQL = {"ALL": "true", "SELECTED": "selected", "UNSELECTED": "NOT selected", "WARNINGS": "warned"}
+
+
+@query(f"""
+WITH l AS (SELECT l_partkey AS k, string_agg('art ' || l_suppkey || ' A-' || l_orderkey, ' ') AS texts, list(DISTINCT l_suppkey) AS suppliers, max(l_quantity) > 49 AS warned FROM lineitem GROUP BY 1),
+p AS (SELECT p_partkey, lower('1.' || p_size || ' ' || p_name || ' ' || coalesce(texts, '')) AS searched, coalesce(suppliers, []) AS suppliers, coalesce(warned, false) AS warned, p_size % 3 = 0 AS selected FROM part LEFT JOIN l ON k = p_partkey)
+{" UNION ALL ".join(f"SELECT {i} AS filter, p_partkey FROM p WHERE contains(searched, '{search.strip().lower()}') AND {_FILTER_SQL[shown]}" + (f" AND list_contains(suppliers, {supplier})" if supplier else "") for i, (search, supplier, shown) in enumerate(FILTERS))}
+""")
+def filtered_positions(t):
+    """Searches with and without a supplier, and with each filter."""
+    positions = t.part.select(F.col("p_partkey").alias("position_id"), F.concat(F.lit("1."), F.col("p_size").cast("string")).alias("number"), F.col("p_name").alias("description"), (F.col("p_size") % 3 == 0).alias("selected"))
+    lines = t.lineitem.select(F.col("l_partkey").alias("position_id"), F.col("l_suppkey").alias("supplier"), F.concat(F.lit("art "), F.col("l_suppkey").cast("string")).alias("description"), F.concat(F.lit("A-"), F.col("l_orderkey").cast("string")).alias("article"))
+    warned = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("position_id"))
+    found = [views.searched_positions(positions, lines, warned, *f).select(F.lit(i).alias("filter"), F.col("position_id").alias("p_partkey")) for i, f in enumerate(FILTERS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""
+WITH p AS (SELECT c_custkey, c_mktsegment || ' ' || c_custkey % 50 AS name, c_acctbal, c_custkey * 37 % 1000 AS touched FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'i'))
+SELECT 'NAME' AS sort, c_custkey, row_number() OVER (ORDER BY name COLLATE de, c_custkey) AS row_number FROM p
+UNION ALL SELECT 'CREATED', c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) FROM p UNION ALL SELECT 'UPDATED', c_custkey, row_number() OVER (ORDER BY touched DESC, c_custkey) FROM p
+""")
+def project_lists(t):
+    """The project list in its three orders."""
+    found = t.customer.filter(text.search_contains(F.lit("I"), F.col("c_name"), F.col("c_mktsegment")))
+    found = found.select("c_custkey", F.concat_ws(" ", "c_mktsegment", F.col("c_custkey") % 50).alias("name"), "c_acctbal", (F.col("c_custkey") * 37 % 1000).alias("touched"))
+    orders = {"NAME": text.german_order(F.col("name")), "CREATED": F.desc("c_acctbal"), "UPDATED": F.desc("touched")}
+    lists = [sequences.pages_of(found, [order, F.col("c_custkey")], 20).select(F.lit(sort).alias("sort"), "c_custkey", "row_number") for sort, order in orders.items()]
+    return reduce(DataFrame.unionByName, lists)
