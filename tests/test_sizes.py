@@ -23,3 +23,8 @@ def shifted(tmp_path_factory):
 
 def test_stated_prices_of_thousands(spark, shifted):
     same_rows(registry.QUERIES["stated_prices"](spark, shifted), connect(shifted), registry.ORACLES["stated_prices"])
+
+
+def test_german_format_keeps_the_sign_of_nothing(spark):
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([-0.0, -0.001, 0.0, -5.5])], "i int, x double").select("i", numbers.german_format(F.col("x")).alias("shown"))
+    assert [r.shown for r in sorted(d.collect())] == ["-0", "-0", "0", "-5,5"]
