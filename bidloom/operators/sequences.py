@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,16 +92,24 @@ def lone_in_range(df: DataFrame, keys: list[str], at: str, within: float, name:
 
 
 def _swept(items: DataFrame, keys: list[str], columns: list[str], sweep) -> DataFrame:
-    """keys, seq, line of items (keys, seq, columns): one pass over a page's items, which are all that a group holds."""
+    """keys, seq, line of items (keys, seq, columns): one pass over each partition's items in their order, page after page.
+
+    ``sweep()`` gives a step that takes whether an item is its page's first, and the item's columns, and returns its line;
+    pages are neither gathered nor sent one by one.
+    """
     kinds = dict(items.dtypes)
-    kept = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    kept = [*keys, "seq"]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(columns + ["seq"], kind="stable")
-        page["line"] = sweep(*(page[c].to_numpy() for c in columns))
-        return page[[*keys, "seq", "line"]]
+    def run(batches):
+        step = sweep()
+        for batch in batches:
+            values = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_i", *columns))
+            lines = [step(i == 1, *item) for i, *item in zip(*values)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lines, pa.int32())], names=[*kept, "line"])
 
-    return items.select(*keys, "seq", *columns).groupBy(*keys).applyInPandas(run, f"{kept}, seq {kinds['seq']}, line int")
+    order = [F.col(c).asc_nulls_last() for c in (*columns, "seq")]
+    d = items.select(*kept, *columns).withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return d.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", line int")
 
 
 def clustered_lines(items: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -110,16 +118,19 @@ def clustered_lines(items: DataFrame, keys: list[str], tolerance: float) -> Data
     The centre moves with every item, so no window can tell; a page is one pass over its ordered items.
     """
 
-    def sweep(ys) -> list[int]:
-        line, n, centre, out = 0, 0, 0.0, []
-        for y in ys.tolist():
-            if n and abs(y - centre) <= tolerance:
+    def sweep():
+        line, n, centre = 0, 0, 0.0
+
+        def step(first: bool, y: float) -> int:
+            nonlocal line, n, centre
+            if not first and abs(y - centre) <= tolerance:
                 centre += (y - centre) / (n + 1)
                 n += 1
             else:
-                line, n, centre = line + 1, 1, y
-            out.append(line)
-        return out
+                line, n, centre = 1 if first else line + 1, 1, y
+            return line
+
+        return step
 
     return _swept(items, keys, ["y"], sweep)
 
@@ -131,9 +142,13 @@ def overlapping_lines(items: DataFrame, keys: list[str], share: float = 0.5) ->
     boxes that end above the present item are left behind for good.
     """
 
-    def sweep(ys, _xs, heights) -> list[int]:
-        out, live, last = [], [], 0  # live: [line, boxes that may still overlap], oldest line first
-        for y, h in zip(ys.tolist(), heights.tolist()):
+    def sweep():
+        live, last = [], 0  # live: [line, boxes that may still overlap], oldest line first
+
+        def step(first: bool, y: float, _x, h: float) -> int:
+            nonlocal live, last
+            if first:
+                live, last = [], 0
             for line in live:
                 line[1] = [b for b in line[1] if b[1] >= y]
             live = [line for line in live if line[1]]
@@ -143,8 +158,9 @@ def overlapping_lines(items: DataFrame, keys: list[str], share: float = 0.5) ->
                 joined = [last, []]
                 live.append(joined)
             joined[1].append((y, y + h))
-            out.append(joined[0])
-        return out
+            return joined[0]
+
+        return step
 
     return _swept(items, keys, ["y", "x", "height"], sweep)
 

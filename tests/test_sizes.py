@@ -28,3 +28,10 @@ def test_stated_prices_of_thousands(spark, shifted):
 def test_german_format_keeps_the_sign_of_nothing(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate([-0.0, -0.001, 0.0, -5.5])], "i int, x double").select("i", numbers.german_format(F.col("x")).alias("shown"))
     assert [r.shown for r in sorted(d.collect())] == ["-0", "-0", "0", "-5,5"]
+
+
+def test_sweeps_send_no_page_on_its_own(spark):
+    items = spark.range(40).select((F.col("id") % 7).alias("k"), F.col("id").alias("seq"), (F.col("id") / 4).alias("y"), F.lit(0).alias("x"), F.lit(1.0).alias("height"))
+    for d in (sequences.clustered_lines(items, ["k"], 0.1), sequences.overlapping_lines(items, ["k"])):
+        assert "FlatMapGroups" not in d._jdf.queryExecution().toString()
+        assert d.count() == 40
