@@ -3,8 +3,8 @@
 import duckdb
 import pytest
 from bidloom.functions import numbers
-from bidloom.operators import sequences
-from bidloom.plans import offers, registry  # noqa: F401
+from bidloom.operators import matching, sequences
+from bidloom.plans import offers, registry, rest, tender  # noqa: F401
 from compare import connect, same_rows
 from pyspark.sql import functions as F
 
@@ -35,3 +35,8 @@ def test_sweeps_send_no_page_on_its_own(spark):
     for d in (sequences.clustered_lines(items, ["k"], 0.1), sequences.overlapping_lines(items, ["k"])):
         assert "FlatMapGroups" not in d._jdf.queryExecution().toString()
         assert d.count() == 40
+
+
+def test_the_match_path_shuffles_no_pairs(spark):
+    plan = registry.QUERIES["match_options"](spark, SF)._jdf.queryExecution().toString()
+    assert "hashpartitioning(basis_id" not in plan and "hashpartitioning(offer_id" not in plan
