@@ -40,3 +40,13 @@ def test_sweeps_send_no_page_on_its_own(spark):
 def test_the_match_path_shuffles_no_pairs(spark):
     plan = registry.QUERIES["match_options"](spark, SF)._jdf.queryExecution().toString()
     assert "hashpartitioning(basis_id" not in plan and "hashpartitioning(offer_id" not in plan
+
+
+def test_availability_and_clusters_make_no_rows_of_pairs(spark):
+    positions = spark.range(2000).select(F.col("id").alias("basis_id"), F.lit("a").alias("prefix"), F.col("id").alias("first"))
+    covered = spark.range(3000).select(F.col("id").alias("supplier"), F.lit("a").alias("prefix"), F.col("id").alias("low"), (F.col("id") + 99).alias("high"))
+    present = spark.createDataFrame([(5, 2, False), (5, 3, True), (5, 2999, False)], "basis_id long, supplier long, no_offer boolean")
+    got = {(r.basis_id, r.availability): r.n_suppliers for r in matching.availability_counts(positions, covered, present).filter("basis_id in (5, 1999)").collect()}
+    assert got == {(5, "EXPLICIT_NO_OFFER"): 1, (5, "PRESENT"): 2, (5, "COVERED_WITHOUT_OFFER"): 4, (5, "NOT_COVERED"): 2993, (1999, "COVERED_WITHOUT_OFFER"): 100, (1999, "NOT_COVERED"): 2900}
+    plan = registry.QUERIES["project_clusters"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "Distinct" in plan or "Deduplicate" in plan
