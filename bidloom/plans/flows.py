@@ -125,10 +125,9 @@ SELECT *, CASE WHEN unread > 0 OR read_documents = '' THEN 'INCOMPLETE' WHEN pos
 """)
 def position_coverage(t):
     k = F.col("s_suppkey")
-    listed = t.customer.select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("position"))
-    by_rest = listed.groupBy("project", (F.col("position") % 6).alias("rest")).agg(F.collect_list("position").alias("listed"))  # a document's own list
-    documents = t.supplier.select(F.col("s_nationkey").alias("project"), k.alias("document"), pick(["ALL", "LISTED", "UNKNOWN"], k).alias("scope"), (k % 6).alias("rest"), (F.col("s_acctbal") > 0).alias("read"))
-    return history.coverage(listed, documents.join(by_rest, ["project", "rest"], "left"))
+    positions = t.customer.select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("position"))
+    documents = t.supplier.select(F.col("s_nationkey").alias("project"), k.alias("document"), pick(["ALL", "LISTED", "UNKNOWN"], k).alias("scope"), (k % 6).alias("listing"), (F.col("s_acctbal") > 0).alias("read"))
+    return history.coverage(positions, positions.withColumn("listing", F.col("position") % 6), documents)
 
 
 @query("""
