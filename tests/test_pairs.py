@@ -1,6 +1,6 @@
 """Operators on pairs of two large tables against loops over small ones."""
 
-from bidloom.operators import history
+from bidloom.operators import documents, history
 
 SCOPES = ["ALL", "LISTED", "UNKNOWN"]
 
@@ -16,3 +16,16 @@ def test_coverage_adds_documents_up_once_a_set_of_listings(spark):
         want[p] = (",".join(map(str, read)), unread, possible, "INCOMPLETE" if unread or not read else "UNKNOWN" if possible else "COMPLETE")
     tables = spark.createDataFrame(positions, "project int, position int"), spark.createDataFrame(listed, "project int, listing int, position int"), spark.createDataFrame(documents, "project int, document int, scope string, listing int, read boolean")
     assert {r.position: tuple(r)[2:] for r in history.coverage(*tables).collect()} == want
+
+
+def test_mentions_of_groups_equal_those_of_pairs(spark):
+    missing = [(p, f"0{1 + p % 2}.{p % 5}", p % 3) for p in range(3000)]
+    asked = [(d, d % 3) for d in range(7)]
+    pages = spark.createDataFrame([(d, g, f"Pos 1.{g}, 2. {(d + g) % 5} und 1.{g}") for d in range(7) for g in range(4)], "document int, page int, content string")
+    index = documents.postings(pages, r"[0-9]+(?:\.\s?[0-9]+)+")
+    groups = spark.createDataFrame(missing, "position int, reference string, rest int")
+    pairs = groups.join(spark.createDataFrame(asked, "document int, rest int"), "rest").drop("rest")
+    want = {tuple(map(str, r)) for r in documents.missing_but_mentioned(pairs, index).collect()}
+    got = documents.missing_but_mentioned(groups, index.join(spark.createDataFrame(asked, "document int, rest int"), "document"), "rest")
+    rows = [tuple(map(str, r)) for r in got.select("position", "document", "pages").collect()]
+    assert want == set(rows) and len(want) == len(rows) > 3000
