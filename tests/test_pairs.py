@@ -1,6 +1,6 @@
 """Operators on pairs of two large tables against loops over small ones."""
 
-from bidloom.operators import documents, history
+from bidloom.operators import documents, history, matching
 
 SCOPES = ["ALL", "LISTED", "UNKNOWN"]
 
@@ -29,3 +29,14 @@ def test_mentions_of_groups_equal_those_of_pairs(spark):
     got = documents.missing_but_mentioned(groups, index.join(spark.createDataFrame(asked, "document int, rest int"), "document"), "rest")
     rows = [tuple(map(str, r)) for r in got.select("position", "document", "pages").collect()]
     assert want == set(rows) and len(want) == len(rows) > 3000
+
+
+def test_candidates_are_made_once_each(spark):
+    words = [["a", "b"], ["b", "c"], ["c"], ["d", "e"], [], None]
+    basis = [(p, words[p % 6], (None, "x", "y")[p % 3], str(p % 2), p) for p in range(60)]
+    offers = [(o, words[o % 5], (None, "x", "z")[o % 3], str(o % 2), o, o + 5) for o in range(40)]
+    hit = lambda b, o: bool(set(b[1] or []) & set(o[1] or [])) or b[2] is not None and b[2] == o[2] or b[3] == o[3] and o[4] <= b[4] <= o[5]
+    got = matching.candidate_pairs(spark.createDataFrame(basis, "basis_id int, tokens array<string>, article string, prefix string, first long"), spark.createDataFrame(offers, "offer_id int, tokens array<string>, article string, prefix string, first long, last long"))
+    assert sorted(map(tuple, got.collect())) == sorted((b[0], o[0]) for b in basis for o in offers if hit(b, o))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [basis_id" not in plan  # no pair is shuffled to be told apart
