@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidloom.operators import rules, sequences
+from bidloom.operators import keyed, rules, sequences
 from bidloom.operators.documents import codes
 
 # What a readable upload is and starts with, and the limits of a project.
@@ -22,14 +22,17 @@ def relevant_memory(records: DataFrame, scopes: DataFrame, scalars: list[str]) -
     Scalars match where equal or null on either side, attributes where all of the
     record's are the request's, the context where it is empty or shares an item;
     rule candidates never apply.  Both sides: project, the scalars, attributes
-    (map), context (array); records besides: record, layer, active.
+    (map), context (array); records besides: record, layer, active.  Requests that
+    ask the same are compared once, as arrays of scopes.
     """
-    r, s = records.filter("active AND layer <> 'RULE_CANDIDATE'").alias("r"), scopes.alias("s")
-    d = r.join(s, F.col("r.project") == F.col("s.project"))
+    names = {c: f"_{c}" for c in [*scalars, "context"]}
+    asked = scopes.withColumnsRenamed(names).withColumn("_attributes", F.array_sort(F.map_entries("attributes")))
+    alike = keyed.chunks(asked, ["project", *names.values(), "_attributes"], "scope")
+    d = keyed.dealt_join(records.filter("active AND layer <> 'RULE_CANDIDATE'"), alike, ["project"], "record")
     for c in scalars:
-        d = d.filter(rules.wildcard_equal(F.col(f"r.{c}"), F.col(f"s.{c}")))
-    d = d.filter(rules.map_within(F.col("r.attributes"), F.col("s.attributes")))
-    return d.filter((F.size("r.context") == 0) | F.arrays_overlap("r.context", "s.context")).select("record", "scope")
+        d = d.filter(rules.wildcard_equal(F.col(c), F.col(names[c])))
+    d = d.filter(rules.map_within(F.col("attributes"), F.map_from_entries("_attributes")))
+    return d.filter((F.size("context") == 0) | F.arrays_overlap("context", "_context")).select("record", F.explode("scope").alias("scope"))
 
 
 def reason_errors(decisions: DataFrame, catalog: DataFrame, key: str) -> DataFrame:

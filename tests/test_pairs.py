@@ -1,6 +1,6 @@
 """Operators on pairs of two large tables against loops over small ones."""
 
-from bidloom.operators import documents, history, matching
+from bidloom.operators import decisions, documents, history, matching
 
 SCOPES = ["ALL", "LISTED", "UNKNOWN"]
 
@@ -40,3 +40,13 @@ def test_candidates_are_made_once_each(spark):
     assert sorted(map(tuple, got.collect())) == sorted((b[0], o[0]) for b in basis for o in offers if hit(b, o))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [basis_id" not in plan  # no pair is shuffled to be told apart
+
+
+def test_memory_compares_requests_that_ask_the_same_once(spark):
+    records = [(r, r % 2, "PROJECT", r % 7 > 0, (None, "p", "q")[r % 3], {"s": str(r % 2)} if r % 5 else {}, [str(r % 4)] if r % 3 else []) for r in range(60)]
+    scopes = [(s, s % 2, ("p", None, "q")[s % 3], {"s": str(s % 2), "t": "u"}, [str(s % 4), "9"]) for s in range(40)]
+    fits = lambda r, s: r[3] and r[1] == s[1] and (r[4] is None or s[2] is None or r[4] == s[2]) and r[5].items() <= s[3].items() and (not r[6] or set(r[6]) & set(s[4]))
+    kinds = "brand string, attributes map<string,string>, context array<string>"
+    got = decisions.relevant_memory(spark.createDataFrame(records, f"record int, project int, layer string, active boolean, {kinds}"), spark.createDataFrame(scopes, f"scope int, project int, {kinds}"), ["brand"])
+    assert sorted(map(tuple, got.collect())) == sorted((r[0], s[0]) for r in records for s in scopes if fits(r, s))
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
