@@ -1,6 +1,7 @@
 """Operators on pairs of two large tables against loops over small ones."""
 
 from bidloom.operators import decisions, documents, history, matching
+from bidloom.plans import audits, registry  # noqa: F401
 
 SCOPES = ["ALL", "LISTED", "UNKNOWN"]
 
@@ -50,3 +51,8 @@ def test_memory_compares_requests_that_ask_the_same_once(spark):
     got = decisions.relevant_memory(spark.createDataFrame(records, f"record int, project int, layer string, active boolean, {kinds}"), spark.createDataFrame(scopes, f"scope int, project int, {kinds}"), ["brand"])
     assert sorted(map(tuple, got.collect())) == sorted((r[0], s[0]) for r in records for s in scopes if fits(r, s))
     assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audit_joins_lines_once_for_options_and_links(spark):
+    plan = registry.QUERIES["corpus_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan.split("posexplode")[0] and plan.count("max_by") == 1
