@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidloom.functions import numbers
+from bidloom.functions.binding import once
 
 # Numbers, units, prices and the words around them in tenders and offers.
 NUMBER = r"\d{1,3}(?:\.\d{3})*(?:,\d+)?|\d+(?:[.,]\d+)?"
@@ -30,20 +31,27 @@ LONGEST_NOISE = 60  # of misread price columns after a quantity
 
 def _candidates(line: Column, allow_noise: bool) -> Column:
     """array<struct<raw, strength, noisy>> of one line."""
-    found = F.regexp_extract_all(line, F.lit(QUANTITY), F.lit(0))
-    around = F.split(line, QUANTITY, -1)
-
-    def told(raw: Column, i: Column) -> Column:
-        woven = lambda a, b: F.array_join(F.flatten(F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: F.array(F.coalesce(z["x"], F.lit("")), F.coalesce(z["y"], F.lit(""))))), "")
-        before = F.trim(woven(F.slice(around, F.lit(1), i + 1), F.slice(found, F.lit(1), i)))
-        after = F.trim(woven(F.slice(around, i + 2, F.size(around)), F.slice(found, i + 2, F.size(found))))
-        prices = after.rlike(PRICE_COLUMNS)
+    woven = lambda a, b: F.array_join(F.flatten(F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: F.array(F.coalesce(z["x"], F.lit("")), F.coalesce(z["y"], F.lit(""))))), "")
+
+    def judged(raw: Column, before: Column, after: Column) -> Column:
         noisy = (before == "") & (after != "") & (F.length(after) <= LONGEST_NOISE) if allow_noise else F.lit(False)
-        prose = after.startswith("/") | before.rlike(DIMENSIONS) | ((after != "") & ~prices & ~noisy)
-        strength = F.when(before == "", 3).when(prices, 2).otherwise(1)
-        return F.when(~prose, F.struct(raw.alias("raw"), strength.alias("strength"), (noisy & ~prices).alias("noisy")))
 
-    return F.array_compact(F.transform(found, told))
+        def of_prices(prices: Column) -> Column:
+            prose = after.startswith("/") | ((before != "") & before.rlike(DIMENSIONS)) | ((after != "") & ~prices & ~noisy)
+            strength = F.when(before == "", 3).when(prices, 2).otherwise(1)
+            return F.when(~prose, F.struct(raw.alias("raw"), strength.alias("strength"), (noisy & ~prices).alias("noisy")))
+
+        return once((after != "") & after.rlike(PRICE_COLUMNS), of_prices)
+
+    def told(found: Column, around: Column) -> Column:
+        def one(raw: Column, i: Column) -> Column:
+            before = F.trim(woven(F.slice(around, F.lit(1), i + 1), F.slice(found, F.lit(1), i)))
+            after = F.trim(woven(F.slice(around, i + 2, F.size(around)), F.slice(found, i + 2, F.size(found))))
+            return once(F.struct(before.alias("before"), after.alias("after")), lambda s: judged(raw, s["before"], s["after"]))
+
+        return F.array_compact(F.transform(found, one))
+
+    return once(F.regexp_extract_all(line, F.lit(QUANTITY), F.lit(0)), lambda found: once(F.split(line, QUANTITY, -1), lambda around: told(found, around)))
 
 
 def quantity(text: Column, allow_noise: bool = False) -> Column:
@@ -60,7 +68,10 @@ def quantity(text: Column, allow_noise: bool = False) -> Column:
     none, missing = F.lit(None), whole(F.lit(None), F.lit(None), F.lit(""), F.lit("QUANTITY_MISSING"))
 
     def chosen(found: Column) -> Column:
-        best = F.filter(found, lambda c: c["strength"] == F.array_max(F.transform(found, lambda x: x["strength"])))
+        strongest = lambda most: F.filter(found, lambda c: c["strength"] == most)
+        return once(once(F.array_max(F.transform(found, lambda x: x["strength"])), strongest), settled)
+
+    def settled(best: Column) -> Column:
         distinct = F.size(F.array_distinct(F.transform(best, lambda c: F.struct(value(c["raw"]), F.lower(unit(c["raw"]))))))
         first = F.get(best, F.lit(0))
         raws = F.array_join(F.transform(best, lambda c: c["raw"]), " / ")
@@ -74,5 +85,5 @@ def quantity(text: Column, allow_noise: bool = False) -> Column:
         return F.when(fits, F.concat(part(1), F.lit(" "), part(2)))
 
     unknown = F.get(F.array_compact(F.transform(lines, unnamed)), F.lit(0))
-    known = F.transform(F.array(every), chosen)[0]
-    return F.coalesce(known, F.when(unknown.isNotNull(), whole(none, none, unknown, F.lit("UNKNOWN_UNIT"))), missing)
+    other = once(unknown, lambda u: F.when(u.isNotNull(), whole(none, none, u, F.lit("UNKNOWN_UNIT"))))
+    return F.coalesce(once(every, chosen), other, missing)

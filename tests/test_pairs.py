@@ -1,5 +1,6 @@
 """Operators on pairs of two large tables against loops over small ones."""
 
+from bidloom.functions import quantities, text
 from bidloom.operators import decisions, documents, history, matching
 from bidloom.plans import audits, registry  # noqa: F401
 
@@ -56,3 +57,17 @@ def test_memory_compares_requests_that_ask_the_same_once(spark):
 def test_audit_joins_lines_once_for_options_and_links(spark):
     plan = registry.QUERIES["corpus_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan.split("posexplode")[0] and plan.count("max_by") == 1
+
+
+def test_texts_are_worked_out_once(spark):
+    d = spark.createDataFrame([("DN 20 1/2 zoll", "3 Stk 12,50")], "a string, b string")
+    plan = lambda c: d.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.attribute_match(d.a, d.a)).count("a#") < 30
+    assert plan(quantities.quantity(d.b)).count("b#") < 10
+    assert d.select(text.attribute_match(d.a, d.a)).first()[0] == "MATCH" and d.select(quantities.quantity(d.b)).first()[0].quantity == 3
+
+
+def test_shown_prices_carry_no_evidence(spark):
+    plan = registry.QUERIES["price_display"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    best = plan[plan.index("max_by") :]
+    assert "says_alternative" not in best[: best.index("\n")]
