@@ -106,6 +106,4 @@ UNION ALL
 SELECT DISTINCT d, 'UNSUPPORTED', NULL, NULL, NULL, '{records.UNSUPPORTED_TEXT}', NULL::DOUBLE, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::INTEGER, 'ERROR', NULL::INTEGER, NULL::BOOLEAN FROM v WHERE k = 4
 """)
 def supplier_layouts(t):
-    lines = supplier_lines(t)
-    failed = records.unsupported(lines).select("document_id", F.lit("UNSUPPORTED").alias("layout"), F.col("error").alias("description"), F.lit("ERROR").alias("role"))
-    return records.supplier_records(lines).drop("n_lines").unionByName(failed, allowMissingColumns=True)
+    return records.supplier_records(supplier_lines(t), failures=True).drop("n_lines")

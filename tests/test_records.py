@@ -75,3 +75,11 @@ def test_net_prices_and_lost_rows(spark):
 def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert supplier_records(empty).count() == 0 and unsupported(empty).count() == 0
+
+
+def test_lines_are_shuffled_once_also_with_the_failures(spark):
+    frame = read(spark, gc=DOCS["gc"], none=[None, ""])
+    plan = supplier_records(frame, failures=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = [(r.document_id, r.description, r.role, r.price_basis, r.page) for r in supplier_records(frame, failures=True).filter("layout = 'UNSUPPORTED'").collect()]
+    assert got == [("none", "No supported deterministic supplier layout signature found.", "ERROR", None, None)]
