@@ -49,7 +49,9 @@ def scanned(files: DataFrame) -> DataFrame:
 def pages(files: DataFrame) -> DataFrame:
     """document_id, page, width, height, image_count, chars, mode, method and items (content, normalised, region) of readable documents."""
     normalised = F.pandas_udf(_normalised, "array<string>")
-    d = scanned(files).filter("failure is null").select("document_id", F.explode("pages").alias("p"))
+    # No filter before the pages are dealt out: it would be pushed down and parse the document again for each of its terms.
+    readable = F.when(F.col("failure").isNull(), F.col("pages"))
+    d = scanned(files).select("document_id", F.posexplode_outer(readable).alias("_at", "p")).filter("_at is not null")
     d = d.select("document_id", F.col("p.page_number").alias("page"), "p.width", "p.height", F.coalesce("p.image_count", F.lit(0)).alias("image_count"), "p.ocr_text", F.coalesce("p.items", F.array().cast("array<struct<content:string,width:double,height:double,transform:array<double>>>")).alias("_i"))
     d = d.withColumn("_n", normalised(F.transform("_i", lambda i: i["content"])))
     item = lambda i, k: F.struct(i["content"].alias("content"), F.get(F.col("_n"), k).alias("normalised"), _clamped(i, F.col("width"), F.col("height")).alias("region"))
@@ -71,7 +73,25 @@ def _clamped(i, page_width, page_height):
 
 
 def issues(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
-    """document_id, page, code: one row of each failed document, and of each page without text."""
-    failed = scanned(files).filter("failure is not null").select("document_id", F.lit(None).cast("int").alias("page"), F.col("failure").alias("code"))
-    lost = (pages(files) if read is None else read).filter("method is null").select("document_id", "page", F.lit("PAGE_UNREADABLE").alias("code"))
-    return failed.unionByName(lost)
+    """document_id, page, code: one row of each failed document, and of each page without text.
+
+    A document is parsed once for both.  Only pages without recognised text are asked
+    for their native one, and only texts beyond ASCII go to Python, as NFKC leaves
+    ASCII as it is.  Where the files' ``pages`` are kept already, ``read`` gives them.
+    """
+    if read is not None:
+        lost = read.filter("method is null").select("document_id", "page", F.lit("PAGE_UNREADABLE").alias("code"))
+        return scanned(files).filter("failure is not null").select("document_id", F.lit(None).cast("int").alias("page"), F.col("failure").alias("code")).unionByName(lost)
+    empty = F.array().cast("array<string>")
+    failed = F.array(F.struct(F.lit(None).cast("int").alias("page"), F.col("failure").alias("code"), F.lit(None).cast("array<string>").alias("texts")))
+    silent = F.filter("pages", lambda p: ~F.coalesce(F.trim(p["ocr_text"]) != "", F.lit(False)))
+    texts = lambda p: F.coalesce(F.transform(p["items"], lambda i: F.coalesce(i["content"], F.lit(""))), empty)
+    asked = F.transform(silent, lambda p: F.struct(p["page_number"].alias("page"), F.lit("PAGE_UNREADABLE").alias("code"), texts(p).alias("texts")))
+    found = F.when(F.col("failure").isNotNull(), failed).otherwise(asked)
+    d = scanned(files).select("document_id", F.explode_outer(found).alias("i")).select("document_id", "i.*").filter("code is not null")
+    size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+    ascii = F.forall("texts", lambda t: F.octet_length(t) == F.length(t))
+    plain = F.transform("texts", lambda t: F.trim(F.regexp_replace(t, r"[\t\n\x0B\f\r\x1C-\x1F ]+", " ")))
+    d = d.withColumn("chars", F.when(ascii, size(plain))).filter(F.coalesce(F.col("chars") < NATIVE_CHARS, F.lit(True)))
+    d = d.withColumn("_n", F.pandas_udf(_normalised, "array<string>")(F.when(F.col("chars").isNull(), F.col("texts"))))
+    return d.filter(F.col("texts").isNull() | (F.coalesce("chars", size("_n")) < NATIVE_CHARS)).select("document_id", "page", "code")

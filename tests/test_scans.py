@@ -113,3 +113,15 @@ def test_unused_columns_are_not_read(spark, folder):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "document_id long, content string")
     assert page_scan.pages(none).count() == 0 and page_scan.issues(none).count() == 0
+
+
+def test_issues_parse_a_document_once(spark):
+    page = lambda n, ocr, *texts: {"page_number": n, "width": 9.0, "height": 9.0, "image_count": 0, "ocr_text": ocr, "items": [{"content": t, "width": 1.0, "height": 1.0, "transform": [1.0] * 6} for t in texts]}
+    silent = [page(1, " ", "a" * 40), page(2, None, "a" * 39), page(3, " ", "ﬁ" * 20), page(4, " ", "ﬁ" * 19), page(5, " ", " b\t\x1c\n " * 20), page(6, "x", ""), page(7, None, "é" * 39), page(8, " ", None), page(9, " ", "a" * 20, " " + "b" * 20 + "\n"), None]
+    files = spark.createDataFrame([("d", json.dumps({"pages": silent})), ("e", '{"pages": []}'), ("f", "{"), ("g", None)], "document_id string, content string")
+    found = page_scan.issues(files)
+    assert found._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+    got = sorted((r.document_id, r.page or 0, r.code) for r in found.collect())
+    assert got == [("d", 0, "PAGE_UNREADABLE")] + [("d", n, "PAGE_UNREADABLE") for n in (2, 4, 5, 7, 8)] + [("e", 0, "DOCUMENT_EMPTY"), ("f", 0, "DOCUMENT_UNREADABLE"), ("g", 0, "DOCUMENT_UNREADABLE")]
+    lost = sorted((r.document_id, r.page or 0) for r in page_scan.pages(files).filter("method is null").collect())
+    assert lost == [x[:2] for x in got if x[2] == "PAGE_UNREADABLE"]
