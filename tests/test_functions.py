@@ -67,3 +67,10 @@ def test_boxes(spark):
 
 def test_german_format(spark):
     assert apply(spark, numbers.german_format, [1234.5, 1234.0, 0.05, -1234567.891, 100.0, None], "double") == ["1.234,5", "1.234", "0,05", "-1.234.567,89", "100", "—"]
+
+
+def test_german_number_names_its_text_once(spark):
+    raw = ["1.234,50", "1,234.50", "1.234.567", "12.5", "1,2,3", "EUR -7,00", "", None, "x", "+.5", "5.", ",5", "1.000,", "--1"]
+    d = spark.createDataFrame([(r,) for r in raw], "raw string").select(numbers.german_number(F.col("raw")).alias("n"))
+    assert [r.n for r in d.collect()] == [1234.5, 1234.5, 1234567.0, 12.5, None, -7.0, None, None, None, 0.5, 5.0, 0.5, 1000.0, None]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("[^0-9,.") <= 1
