@@ -33,9 +33,12 @@ ALIASES = [("ALPHA", ["Alpha Rohr", "Alpha-R."]), ("MUSTER", ["Musterwerk", "MW
 
 
 def order_texts(t):
+    """One text an order.  Keys are dealt out before texts are made of them: a file of keys has few splits, and the texts' patterns are the work."""
     k = F.col("o_orderkey")
+    keys = t.orders.select("o_orderkey")
+    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     body = F.concat_ws(" ", pick(HEADS, k), pick(MIDS, F.floor(k / 3)), pick(TAILS, F.floor(k / 7)))
-    return t.orders.select(k.alias("doc"), body.alias("text"), (k % 9 * 10).alias("chars"), (k % 4 * 20).alias("ocr_chars"), (k % 5).alias("pages_with_text"), (k % 3 + 1).alias("pages"))
+    return dealt.select(k.alias("doc"), body.alias("text"), (k % 9 * 10).alias("chars"), (k % 4 * 20).alias("ocr_chars"), (k % 5).alias("pages_with_text"), (k % 3 + 1).alias("pages"))
 
 
 ORDER_TEXTS = f"d AS (SELECT o_orderkey AS doc, {pick_sql(HEADS, 'o_orderkey')} || ' ' || {pick_sql(MIDS, 'o_orderkey // 3')} || ' ' || {pick_sql(TAILS, 'o_orderkey // 7')} AS text, o_orderkey % 9 * 10 AS chars, o_orderkey % 4 * 20 AS ocr_chars, o_orderkey % 5 AS pages_with_text, o_orderkey % 3 + 1 AS pages FROM orders)"

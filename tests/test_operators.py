@@ -116,3 +116,12 @@ def test_new_documents_are_processed_alone_unless_a_basis_is_new(spark):
     done = spark.createDataFrame([(1, 1), (2, 3), (4, 6), (4, 6)], "p int, d int")
     got = {(r.p, r.d): r.incremental for r in documents_to_process(docs, done, "p", "d", "basis").collect()}
     assert got == {(1, 2): True, (2, 3): False, (2, 4): False, (3, 5): False, (4, 6): False}
+
+
+def test_a_document_is_searched_once_for_each_pattern(spark):
+    from bidloom.operators import documents
+
+    d = spark.createDataFrame([("Angebot Angebotsposition 10 LVNR 1.2.3", 90, 0, 1, 1), (None, 90, 0, 1, 1)], "text string, chars int, ocr_chars int, pages_with_text int, pages int")
+    found = documents.classified(d, "text", [("A", ["Alpha"])])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Angebotsposition") == 1
+    assert [(r.document_type, r.n_positions, r.signals) for r in found.collect()][0] == ("UNKNOWN", 0, ["Angebot", "Preisstruktur"])
