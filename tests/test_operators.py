@@ -125,3 +125,14 @@ def test_a_document_is_searched_once_for_each_pattern(spark):
     found = documents.classified(d, "text", [("A", ["Alpha"])])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Angebotsposition") == 1
     assert [(r.document_type, r.n_positions, r.signals) for r in found.collect()][0] == ("UNKNOWN", 0, ["Angebot", "Preisstruktur"])
+
+
+def test_levels_of_a_closure_are_not_sent_through_the_driver(spark, monkeypatch):
+    from bidloom.operators import keyed
+
+    plans, cut = [], keyed.cut
+    monkeypatch.setattr(keyed, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
+    got = sorted(tuple(r) for r in keyed.reachable(edges, spark.createDataFrame([(1,)], "node long"), 9).select("start", "node", "depth").collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
+    assert plans and not any("Broadcast" in p for p in plans)
