@@ -64,9 +64,9 @@ def per_page(items: DataFrame, owner: str) -> DataFrame:
     return distinct.groupBy(owner, "page").agg(rows.alias("_r"), geometry.union_box(F.col("_i.box")).alias("box")).select(owner, "page", F.transform("_r", lambda r: r["item_id"]).alias("item_ids"), F.array_join(F.transform("_r", lambda r: r["content"]), " ").alias("content"), "box")
 
 
-def best_versions(rows: DataFrame, key: str, evidence: str, seq: str) -> DataFrame:
-    """Per key the row with most evidence, the first of equals, and how often the key occurs."""
-    rest = [c for c in rows.columns if c != key]
+def best_versions(rows: DataFrame, key: str, evidence: str, seq: str, keep: list[str] | None = None) -> DataFrame:
+    """Per key the row with most evidence, the first of equals, and how often the key occurs.  Of the row all columns are carried, or those to ``keep``."""
+    rest = keep or [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.size(evidence), -F.col(seq))).alias("_r"), F.count("*").alias("occurrences")).select(key, "_r.*", "occurrences")
 
 

@@ -231,7 +231,7 @@ SELECT l_partkey, l_orderkey, n AS occurrences FROM (SELECT *, count(*) OVER (PA
 """)
 def best_line_version(t):
     d = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber").distinct().withColumn("evidence", F.array_repeat(F.lit("e"), F.col("l_linenumber")))
-    return evidence.best_versions(d, "l_partkey", "evidence", "l_orderkey").select("l_partkey", "l_orderkey", "occurrences")
+    return evidence.best_versions(d, "l_partkey", "evidence", "l_orderkey", ["l_orderkey"]).select("l_partkey", "l_orderkey", "occurrences")
 
 
 @query("""

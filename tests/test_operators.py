@@ -136,3 +136,12 @@ def test_levels_of_a_closure_are_not_sent_through_the_driver(spark, monkeypatch)
     got = sorted(tuple(r) for r in keyed.reachable(edges, spark.createDataFrame([(1,)], "node long"), 9).select("start", "node", "depth").collect())
     assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_best_versions_carry_only_what_is_kept(spark):
+    from bidloom.operators import evidence
+
+    d = spark.createDataFrame([("a", 1, ["e"]), ("a", 3, ["e", "e"]), ("a", 2, ["e", "e"]), ("b", 5, [])], "k string, seq long, proof array<string>")
+    got = evidence.best_versions(d, "k", "proof", "seq", ["seq"])
+    assert got.columns == ["k", "seq", "occurrences"] and sorted(map(tuple, got.collect())) == [("a", 2, 3), ("b", 5, 1)]
+    assert evidence.best_versions(d, "k", "proof", "seq").columns == ["k", "seq", "proof", "occurrences"]
