@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -16,6 +17,15 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """``pack``, and entropy-coded: for small numbers and steps between sorted keys, of which the shuffle's own compression saves whole bytes only."""
+    return pa.compress(pack(values), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int, kind: type) -> np.ndarray:
+    return unpack(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def range_width(parts: int) -> int:
     return -(-(1 << 64) // parts)
 

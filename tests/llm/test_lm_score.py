@@ -2,6 +2,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 from bidloom.llm import lm_score
 from data import DOCS, docs
 from pyspark.sql import functions as F
@@ -49,3 +53,20 @@ def test_rows_that_repeat_are_documents_of_their_own(spark):
 
 def test_empty_table(spark):
     assert lm_score.stupid_backoff(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_ngrams_travel_packed_and_are_answered_in_place():
+    rng = np.random.default_rng(1)
+    texts = [[" ".join(f"w{x}" for x in rng.integers(0, 3000, 2000)) for _ in range(20)] for _ in range(3)] + [["", ""]]
+    cells = [lm_score._count(3, 4)((pa.scalar(b),), pa.table({"text": t})) for b, t in enumerate(texts)]
+    n = sum(sum(c.column("n").to_pylist()) for c in cells)
+    assert n > 200_000 and sum(c.column(k).nbytes for c in cells for k in ("steps", "counts")) < 7 * n
+    table = pa.concat_tables(cells)
+    answers = pa.concat_tables([lm_score._elsewhere(None, table.filter(pc.equal(table.column("part"), p))) for p in range(4)])
+    assert answers.column("elsewhere").nbytes < n / 2
+    assert answers.select(["part", "block", "n"]).sort_by([("block", "ascending"), ("part", "ascending")]) == table.select(["part", "block", "n"])
+
+
+def test_a_block_that_is_not_the_one_counted_is_refused():
+    with pytest.raises(ValueError):
+        lm_score._known([np.array([5, 9], np.uint64)], [np.array([0, 1])], np.zeros(3, np.int64))
